@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from quirewright.cluster import dense_rank_in_groups, materialize
 from quirewright.llm.tokens import DEFAULT, token_count
 
-ROUNDS = 500
+ROUNDS = 200
+#: A token in a long item is worth up to so much more than in a short one, so that short items stay to fill gaps.
+LONG_FIRST = 0.3
+#: How fast the weight of a length falls as it is covered ahead of the others.
+LAG = 20.0
 
 
 def knapsack(value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
@@ -70,18 +74,19 @@ def configurations(histogram: np.ndarray, rounds: int = ROUNDS) -> list[tuple[di
         covered = np.zeros(capacity + 1)
         uses: dict[tuple, float] = {}
         size = np.arange(capacity + 1)
-        bound = max(1.0, float((need * size).sum()) / capacity)
-        step = bound / rounds
+        worth = size * (1 + LONG_FIRST * size / capacity)
+        step = max(1.0, float((need * size).sum()) / capacity / rounds)
         for _ in range(rounds):
             lag = np.where(demand, covered / np.maximum(need, 1), np.inf)
-            weight = np.where(demand, size * np.exp(-4 * rounds**0.5 * np.clip(lag - lag[demand].min(), 0, 1)), 0)
+            weight = np.where(demand, worth * np.exp(-LAG * np.clip(lag - lag[demand].min(), 0, 1)), 0)
             pattern = knapsack(weight, left, capacity)
             if not pattern:
                 break
             key = tuple(sorted(pattern.items()))
-            uses[key] = uses.get(key, 0.0) + step
+            times = min([step, *(need[n] / k for n, k in key)])
+            uses[key] = uses.get(key, 0.0) + times
             for n, k in key:
-                covered[n] += k * step
+                covered[n] += k * times
         for key, x in sorted(uses.items(), key=lambda t: (-t[1], t[0])):
             m = int(min([x, *(left[n] / k for n, k in key)]))
             if m > 0:
