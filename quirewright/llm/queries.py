@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewright.cluster import table
-from quirewright.llm import lookalikes, main_content, mixing, packing, record_copies, repeated_lines, self_repetition, splitting
+from quirewright.llm import lookalikes, main_content, mixing, packing, record_copies, repeated_lines, scan_repair, self_repetition, splitting
 from quirewright.llm.tokens import limit_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def p4_main(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("document_id", "block_order", "block_id", "type", "text").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.defects(table(spark, d, "page_blocks"), table(spark, d, "blocks"))
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repaired(table(spark, d, "page_blocks"), table(spark, d, "blocks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return self_repetition.repetitive(table(spark, d, "blocks"), table(spark, d, "vlm_results"))
 
@@ -81,5 +89,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_classes, p4_found, p4_main, p6_found, p6_share, p8_containers, p9_copies, p9_shares, p10_found, p10_pieces)
+    for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_classes, p4_found, p4_main, p5_found, p5_text, p6_found, p6_share, p8_containers, p9_copies, p9_shares, p10_found, p10_pieces)
 }
