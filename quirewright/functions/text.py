@@ -13,8 +13,8 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SLUG_LENGTH, SHORT_HASH = 40, 8
 # Forms of image references.
 IMAGE_MARKDOWN = r"!\[[^\]]*\]\([^)]*\)"
-IMAGE_HTML = r"(?i)<img\b[^>]*>"
-IMAGE_BASE64 = r"data:image/[a-zA-Z0-9.+-]+;base64,[A-Za-z0-9+/=]+"
+IMAGE_HTML = r"(?i)<\s*img\b[^>]*>"
+IMAGE_BASE64 = r"(?i)data:image/[^;]+;base64"
 
 
 def strip(c: Column) -> Column:
@@ -163,9 +163,9 @@ def unclosed_fence(markdown: Column, strict: bool = True) -> Column:
     full-document check, where fences may be indented.
     """
     lines = F.split(markdown, "\n") if strict else F.transform(split_lines(markdown), strip)
-    fences = F.filter(lines, lambda x: x.rlike("^`{3}"))
+    fences = F.filter(lines, lambda x: x.rlike(r"(?s)^`{3,}(\s*\S.*)?$" if strict else "^`{3}"))
     ticks = lambda x: F.length(F.regexp_extract(x, "^(`+)", 1))
-    bare = lambda x: x.rlike(r"^`+\s*$") if strict else x.rlike("^`+$")
+    bare = lambda x: x.rlike("^`+$")
     step = lambda acc, x: F.when(acc == 0, ticks(x)).when(bare(x) & (ticks(x) >= acc), F.lit(0)).otherwise(acc)
     return F.aggregate(fences, F.lit(0), step, lambda acc: F.when(acc > 0, 1).otherwise(0))
 
