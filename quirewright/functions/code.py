@@ -101,7 +101,7 @@ def looks_like_code(text: Column) -> Column:
     """Whether any sign of code stands in the text: a marker, three brackets or the like, or a key with a value."""
     marks = reduce(lambda a, b: a | b, [text.contains(m) for m in CODE_MARKS])
     brackets = F.length(text) - F.length(F.translate(text, "()[]{}=;:", "")) >= 3
-    return (text != "") & (marks | brackets | text.rlike(r"(?md)^[A-Za-z][A-Za-z0-9\-]*\s*[:：=]\s*\S"))
+    return (text != "") & (marks | brackets | text.rlike(r"(?mdU)^[A-Za-z][A-Za-z0-9\-]*\s*[:：=]\s*\S"))
 
 
 def ascii_punctuation(text: Column) -> Column:
@@ -202,7 +202,7 @@ def diff_panels(text: Column) -> Column:
     return F.when(text == "", F.array().cast(SEGMENT)).otherwise(made)
 
 
-HTTP_REQUEST, HTTP_STATUS, HTTP_HEADER = r"^\s*(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS) [^ ]+ HTTP/\d", r"^\s*HTTP/\d[\d.]*\s+\d{3}", r"^[A-Za-z][A-Za-z0-9\-]*:\s+.+$"
+HTTP_REQUEST, HTTP_STATUS, HTTP_HEADER = r"(?U)^\s*(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS) [^ ]+ HTTP/\d", r"(?U)^\s*HTTP/\d[\d.]*\s+\d{3}", r"(?U)^[A-Za-z][A-Za-z0-9\-]*:\s+.+$"
 
 
 def http_panels(text: Column) -> Column:
@@ -253,14 +253,14 @@ def panels(text: Column, visual_type: Column) -> Column:
 # ---- classification ---------------------------------------------------------------------------------------------
 
 # Patterns by which text is told apart, in the order in which they are tried.
-HTTP = r"(?md)^\s*(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|TRACE|CONNECT)\s+\S+\s+HTTP/\d"
-DIFF = r"(?md)^\s*(\+\+\+|---|@@|\+[^+]|-[^-])"
-TRACEBACK = r"\b(Traceback|Exception|Error:|File \"[^\"]+\", line \d+)"
-LOG = r"(?md)^\s*\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}|^\s*(DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\b"
-SHELL = r"(?md)^\s*[$>]\s"
-INI = r"(?md)^\s*\[[^\]]+\]\s*$"
-JSON = r"(?md)^\s*[{\[]"
-YAML = r"(?md)^\s*[\w.\-]+\s*:\s"
+HTTP = r"(?mdU)^\s*(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|TRACE|CONNECT)\s+\S+\s+HTTP/\d"
+DIFF = r"(?mdU)^\s*(\+\+\+|---|@@|\+[^+]|-[^-])"
+TRACEBACK = r"(?U)\b(Traceback|Exception|Error:|File \"[^\"]+\", line \d+)"
+LOG = r"(?mdU)^\s*\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}|^\s*(DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\b"
+SHELL = r"(?mdU)^\s*[$>]\s"
+INI = r"(?mdU)^\s*\[[^\]]+\]\s*$"
+JSON = r"(?mdU)^\s*[{\[]"
+YAML = r"(?mdU)^\s*[\w.\-]+\s*:\s"
 
 
 def classify_text(text: Column, fallback: Column | str = "code") -> Column:
@@ -307,20 +307,20 @@ def detect_language(text: Column, visual_type: Column) -> Column:
         .when(visual_type == "terminal", "bash")
         .when(visual_type.isin("log", "stack_trace"), "log")
         .when(visual_type == "configuration", config)
-        .when(text.rlike(r"(?md)^\s*def\s+\w+\s*\(") | F.substring_index(text, "\n", 1).contains("import "), "python")
-        .when(text.rlike(r"(?md)^\s*#include\s+[<\"]") | text.rlike(r"\bint\s+main\s*\("), "cpp")
-        .when(text.rlike(r"(?md)^\s*(const|let|var|function)\s+"), "javascript")
-        .when(text.rlike(r"(?md)^\s*(func|package)\s+"), "go")
-        .when(text.rlike(r"(?md)^\s*(use\s+std|fn\s+|impl\s+|mod\s+)"), "rust")
+        .when(text.rlike(r"(?mdU)^\s*def\s+\w+\s*\(") | F.substring_index(text, "\n", 1).contains("import "), "python")
+        .when(text.rlike(r"(?mdU)^\s*#include\s+[<\"]") | text.rlike(r"\bint\s+main\s*\("), "cpp")
+        .when(text.rlike(r"(?mdU)^\s*(const|let|var|function)\s+"), "javascript")
+        .when(text.rlike(r"(?mdU)^\s*(func|package)\s+"), "go")
+        .when(text.rlike(r"(?mdU)^\s*(use\s+std|fn\s+|impl\s+|mod\s+)"), "rust")
     )
 
 
 def code_like(text: Column) -> Column:
     """Struct (is_code, language): whether a page's text block is code, by the first sign that fits."""
-    http = text.rlike(r"(?md)^\s*(GET|POST|PUT|DELETE|PATCH|HEAD) [^ ]+ HTTP/\d")
-    diff = text.rlike(r"(?md)^(\+\+\+|---|@@)") & text.rlike(r"(?md)^[+-]")
-    python = text.rlike(r"(?md)^\s*(def |class |import |from |    )")
-    key = text.rlike(r"(?md)^\s*[\w\-.\s]+:\s") & ~text.contains("=")
+    http = text.rlike(r"(?mdU)^\s*(GET|POST|PUT|DELETE|PATCH|HEAD) [^ ]+ HTTP/\d")
+    diff = text.rlike(r"(?mdU)^(\+\+\+|---|@@)") & text.rlike(r"(?mdU)^[+-]")
+    python = text.rlike(r"(?mdU)^\s*(def |class |import |from |    )")
+    key = text.rlike(r"(?mdU)^\s*[\w\-.\s]+:\s") & ~text.contains("=")
     lang = F.when(http, "http").when(diff, "diff").when(text.rlike(SHELL), "bash").when(python, "python")
     blank = strip(text) == ""
     return F.struct((~blank & (lang.isNotNull() | key)).alias("is_code"), F.when(~blank, lang).alias("language"))
@@ -347,7 +347,8 @@ def bracket_balance(text: Column) -> Column:
 
 def keyword_density(text: Column) -> Column:
     """Distinct keywords that stand as identifiers, a fifth each, 1 at most."""
-    words = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1))
+    runs = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}\p{M}_]+)"), F.lit(1))
+    words = F.filter(runs, lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*$"))
     hits = F.size(F.array_intersect(words, F.array(*[F.lit(k) for k in KEYWORDS])))
     return F.least(F.lit(1.0), hits / 5.0)
 
@@ -373,7 +374,7 @@ def type_tokens(text: Column, visual_type: Column) -> Column:
         .when(visual_type == "http", F.when(text.rlike(r"HTTP/\d"), 1.0).otherwise(0.3))
         .when(visual_type == "diff", F.when(text.contains("@@") & (text.contains("+") | text.contains("-")), 1.0).otherwise(0.3))
         .when(visual_type == "terminal", F.when(text.rlike(SHELL), 1.0).otherwise(0.3))
-        .when(visual_type == "code", F.when(text.rlike(r"(?md):\s*$|;\s*$"), 0.8).otherwise(0.5))
+        .when(visual_type == "code", F.when(text.rlike(r"(?mdU):\s*$|;\s*$"), 0.8).otherwise(0.5))
         .otherwise(0.5)
     )
 

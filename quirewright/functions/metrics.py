@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,7 +98,7 @@ def hallucination_rate(gold: Column, actual: Column) -> Column:
     """Share of characters of the transcription that gold has nowhere, not even in a form easily confused."""
     chars = F.filter(F.split(actual, ""), lambda x: x != "")
     # what gold's characters may be taken for: gold with every confusable written behind it
-    allowed = reduce(lambda c, kv: F.when(F.contains(gold, F.lit(kv[0])), F.concat(c, F.lit(kv[1]))).otherwise(c), CONFUSABLE.items(), gold)
+    allowed = F.concat(gold, *[F.when(F.contains(gold, F.lit(k)), v).otherwise("") for k, v in CONFUSABLE.items()])
     blank = gold.rlike(r"(?U)\s")
     odd = F.size(F.filter(chars, lambda x: ~F.contains(allowed, x) & ~(blank & x.rlike(r"(?U)^\s$"))))
     return F.when(actual == "", 0.0).otherwise(odd / F.length(actual))

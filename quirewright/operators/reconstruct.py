@@ -29,14 +29,14 @@ CODEISH = r"(--\w+|https?://|/[A-Za-z0-9_.\-/]+|[A-Za-z_][A-Za-z0-9_]*\(|[0-9a-f
 def furniture_signature(text: Column) -> Column:
     """A text without what differs from page to page: case, spacing, punctuation between words, page and chapter numbers."""
     c = F.translate(collapse(text), "’–—", "'--")
-    c = reduce(lambda x, rule: F.regexp_replace(x, *rule), SIGNATURE, c)
-    c = strip(F.regexp_replace(c, r"[\s.\-_:|]+", " "))
+    c = reduce(lambda x, rule: F.regexp_replace(x, "(?U)" + rule[0], rule[1]), SIGNATURE, c)
+    c = strip(F.regexp_replace(c, r"(?U)[\s.\-_:|]+", " "))
     return F.when(c.rlike(GENERATORS), "generator:tcpdf").when(c.isin("page#", "#"), "page-number").otherwise(c)
 
 
 def is_page_number(text: Column) -> Column:
     """A number of up to four digits, perhaps after ``page``."""
-    return strip(text).rlike(r"(?i)^(page\s*)?\d{1,4}$")
+    return strip(text).rlike(r"(?iU)^(page\s*)?\d{1,4}$")
 
 
 def is_generator(text: Column) -> Column:

@@ -54,7 +54,8 @@ def search(corpus: DataFrame, query: str, limit: int = 100, index: DataFrame | N
         if index is None:
             # no index: count in place, without exploding what is not asked for
             found = F.filter(search_tokens(F.col("full_text")), lambda t: t.isin(*weight))
-            score = sum((F.size(F.filter("f", lambda x, t=t: x == t)) * n for t, n in weight.items()), F.lit(0))
+            times = lambda word: F.size(F.filter("f", lambda x: x == word))
+            score = sum((times(t) * n for t, n in weight.items()), F.lit(0))
             scored = corpus.withColumn("f", found).where(F.size("f") > 0).select("document_id", "title", score.cast("double").alias("score"))
         else:
             asked = F.create_map(*[F.lit(x) for kv in weight.items() for x in kv])

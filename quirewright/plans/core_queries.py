@@ -32,8 +32,8 @@ def _q(s: str) -> str:
 
 
 # Pieces of SQL that several oracles share.
-_LINES = "list_filter(list_transform(string_split(regexp_replace({0}, '\\r\\n|\\r', chr(10), 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '')"
-_STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
+_LINES = "list_filter(list_transform(string_split(regexp_replace({0}, '\\r\\n|\\r', chr(10), 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[\\s\\pZ]+', ''), '[\\s\\pZ]+$', '')), lambda x: x <> '')"
+_STRIP = "regexp_replace(regexp_replace({0}, '^[\\s\\pZ]+', ''), '[\\s\\pZ]+$', '')"
 _HTTP = r"(?m)^\s*(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|TRACE|CONNECT)\s+\S+\s+HTTP/\d"
 _DIFF = r"(?m)^\s*(\+\+\+|---|@@|\+[^+]|-[^-])"
 _TRACE = r"""\b(Traceback|Exception|Error:|File "[^"]+", line \d+)"""
@@ -41,8 +41,30 @@ _LOG = r"(?m)^\s*\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}|(?m)^\s*(DEBUG|INFO|WAR
 _SHELL, _INI, _JSON, _YAML = r"(?m)^\s*[$>]\s", r"(?m)^\s*\[[^\]]+\]\s*$", r"(?m)^\s*[{\[]", r"(?m)^\s*[\w.\-]+\s*:\s"
 
 
+def _u(p: str) -> str:
+    """A pattern with the classes that are Unicode in the engine written out for a dialect in which they are ASCII."""
+    out, inside, i = [], False, 0
+    wide = {"s": r"\s\pZ", "w": r"\pL\pN\pM_", "d": r"\p{Nd}"}
+    while i < len(p):
+        two = p[i : i + 2]
+        if two[0] == "\\" and two[1:] in wide:
+            out.append(wide[two[1]] if inside else f"[{wide[two[1]]}]")
+            i += 2
+        elif two == r"\S":
+            out.append(r"[^\s\pZ]")
+            i += 2
+        elif two[0] == "\\":
+            out.append(two)
+            i += 2
+        else:
+            inside = (inside or p[i] == "[") and not (inside and p[i] == "]" and p[i - 1] not in "[^")
+            out.append(p[i])
+            i += 1
+    return "".join(out)
+
+
 def _m(c: str, p: str) -> str:
-    return f"regexp_matches({c}, {_q(p)})"
+    return f"regexp_matches({c}, {_q(_u(p))})"
 
 
 def _class_sql(c: str, fallback: str) -> str:
@@ -158,33 +180,33 @@ def line_numbers(spark, d):
 
 
 @query(rf"""
-with v as (select distinct document_id, block_id, visual_type k, enrichment.raw_text t from blocks where enrichment.raw_text is not null and not regexp_matches(enrichment.raw_text, '[^\x00-\x7f]')),
+with v as (select distinct document_id, block_id, visual_type k, enrichment.raw_text t from blocks where enrichment.raw_text is not null),
 c as (select *, {_class_sql('t', "'code'")} c from v)
 select document_id, block_id, c as class, case when c in ('http', 'diff') then c when c = 'terminal' then 'bash' when c in ('log', 'stack_trace') then 'log'
   when c = 'configuration' then case when {_m('t', _JSON)} and {_m(_STRIP.format('t'), '[]}]$')} then 'json' when {_m('t', _INI)} then 'ini' when {_m('t', _YAML)} then 'yaml' end
   when {_m('t', r'(?m)^\s*def\s+\w+\s*\(')} or contains(split_part(t, chr(10), 1), 'import ') then 'python'
   when {_m('t', r'(?m)^\s*#include\s+[<"]')} or {_m('t', r'\bint\s+main\s*\(')} then 'cpp' when {_m('t', r'(?m)^\s*(const|let|var|function)\s+')} then 'javascript'
   when {_m('t', r'(?m)^\s*(func|package)\s+')} then 'go' when {_m('t', r'(?m)^\s*(use\s+std|fn\s+|impl\s+|mod\s+)')} then 'rust' end as language,
-  regexp_matches(t, '\S{{81,}}') or (length(regexp_replace(t, '\s', '', 'g')) > 60 and not contains(t, ' ')) as space_merged from c
+  regexp_matches(t, '[^\s\pZ]{{81,}}') or (length(regexp_replace(t, '[\s\pZ]', '', 'g')) > 60 and not contains(t, ' ')) as space_merged from c
 """)
 def text_classes(spark, d):
-    v = table(spark, d, "blocks").where(F.col("enrichment.raw_text").isNotNull() & ~F.col("enrichment.raw_text").rlike(r"[^\x00-\x7f]"))
+    v = table(spark, d, "blocks").where(F.col("enrichment.raw_text").isNotNull())
     v = v.select("document_id", "block_id", F.col("enrichment.raw_text").alias("t")).distinct().withColumn("class", C.classify_text(F.col("t")))
     return v.select("document_id", "block_id", "class", C.detect_language(F.col("t"), F.col("class")).alias("language"), C.looks_space_merged(F.col("t")).alias("space_merged"))
 
 
 @query("""
-with v as (select distinct document_id, block_id, coalesce(visual_type, 'unknown') k, enrichment.raw_text t from blocks where enrichment.raw_text <> '' and not regexp_matches(enrichment.raw_text, '[^\\x00-\\x7f]')),
-s as (select *, length(regexp_replace(t, '\\s', '', 'g')) f, length(t) - length(replace(t, ' ', '')) sp, string_split(t, chr(10)) l0 from v),
+with v as (select distinct document_id, block_id, coalesce(visual_type, 'unknown') k, enrichment.raw_text t from blocks where enrichment.raw_text <> ''),
+s as (select *, length(regexp_replace(t, '[\\s\\pZ]', '', 'g')) f, length(t) - length(replace(t, ' ', '')) sp, string_split(t, chr(10)) l0 from v),
 l as (select *, case when l0[-1] = '' then l0[1:-2] else l0 end l from s)
-select document_id, block_id, least(1.0, len(list_intersect(list_distinct(regexp_extract_all(t, '\\b[A-Za-z_][A-Za-z0-9_]*\\b')), [""" + ", ".join(_q(k) for k in C.KEYWORDS) + """])) / 5.0)::double as keywords,
+select document_id, block_id, least(1.0, len(list_intersect(list_distinct(list_filter(regexp_extract_all(t, '[\\pL\\pN\\pM_]+'), lambda w: regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*'))), [""" + ", ".join(_q(k) for k in C.KEYWORDS) + """])) / 5.0)::double as keywords,
   round(1 - len(list_filter(l, lambda x: length(x) > 120 and not contains(x, ' '))) / len(l), 9)::double as line_length,
   round(case when f = 0 then 0 when sp / f between 0.05 and 0.5 then 1 when sp / f < 0.05 then sp / f / 0.05 else greatest(0, 1 - (sp / f - 0.5) / 0.5) end, 9)::double as spaces,
-  (case k when 'http' then case when regexp_matches(t, 'HTTP/\\d') then 1.0 else 0.3 end when 'diff' then case when contains(t, '@@') and (contains(t, '+') or contains(t, '-')) then 1.0 else 0.3 end
-   when 'terminal' then case when regexp_matches(t, '(?m)^\\s*[$>]\\s') then 1.0 else 0.3 end when 'code' then case when regexp_matches(t, '(?m):\\s*$|;\\s*$') then 0.8 else 0.5 end else 0.5 end)::double as type_tokens from l
+  (case k when 'http' then case when regexp_matches(t, 'HTTP/[0-9]') then 1.0 else 0.3 end when 'diff' then case when contains(t, '@@') and (contains(t, '+') or contains(t, '-')) then 1.0 else 0.3 end
+   when 'terminal' then case when regexp_matches(t, '(?m)^[\\s\\pZ]*[$>][\\s\\pZ]') then 1.0 else 0.3 end when 'code' then case when regexp_matches(t, '(?m):[\\s\\pZ]*$|;[\\s\\pZ]*$') then 0.8 else 0.5 end else 0.5 end)::double as type_tokens from l
 """)
 def structural_scores(spark, d):
-    v = table(spark, d, "blocks").where((F.col("enrichment.raw_text") != "") & ~F.col("enrichment.raw_text").rlike(r"[^\x00-\x7f]"))
+    v = table(spark, d, "blocks").where((F.col("enrichment.raw_text") != ""))
     v = v.select("document_id", "block_id", F.coalesce("visual_type", F.lit("unknown")).alias("k"), F.col("enrichment.raw_text").alias("t")).distinct()
     t = F.col("t")
     return v.select("document_id", "block_id", C.keyword_density(t).alias("keywords"), F.round(C.line_length(t), 9).alias("line_length"), F.round(C.space_ratio(t), 9).alias("spaces"), C.type_tokens(t, F.col("k")).alias("type_tokens"))
@@ -199,9 +221,9 @@ def structural_score(spark, d):
 @query(r"""
 with v as (select distinct document_id, block_id, enrichment.raw_text t from blocks where type = 'visual' and visual_type = 'terminal' and enrichment.raw_text <> ''),
 l as (select document_id, block_id, unnest(string_split(t, chr(10))) x, unnest(range(1, len(string_split(t, chr(10))) + 1)) i from v),
-p as (select *, regexp_matches(x, '^\s*(?:\$|>>|>)\s?') c, lag(regexp_matches(x, '^\s*(?:\$|>>|>)\s?')) over (partition by document_id, block_id order by i) pc from l),
+p as (select *, regexp_matches(x, '^[\s\pZ]*(?:\$|>>|>)[\s\pZ]?') c, lag(regexp_matches(x, '^[\s\pZ]*(?:\$|>>|>)[\s\pZ]?')) over (partition by document_id, block_id order by i) pc from l),
 g as (select *, sum(case when c or pc is null or pc then 1 else 0 end) over (partition by document_id, block_id order by i) g from p)
-select document_id, block_id, g::int as segment, case when bool_or(c) then 'command' else 'output' end as role, string_agg(case when c then regexp_replace(x, '^\s*(?:\$|>>|>)\s?', '') else x end, chr(10) order by i) as text from g group by all
+select document_id, block_id, g::int as segment, case when bool_or(c) then 'command' else 'output' end as role, string_agg(case when c then regexp_replace(x, '^[\s\pZ]*(?:\$|>>|>)[\s\pZ]?', '') else x end, chr(10) order by i) as text from g group by all
 """)
 def terminal_segments(spark, d):
     v = table(spark, d, "blocks").where("type = 'visual' and visual_type = 'terminal' and enrichment.raw_text <> ''").select("document_id", "block_id", F.col("enrichment.raw_text").alias("t")).distinct()
@@ -271,7 +293,7 @@ def postings(spark, d):
 
 
 @query(r"""
-with r as (select distinct document_id, page, pb_id, text, regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '\s+', ' ', 'g') n, coalesce(from_ocr_layer, false) o from page_blocks where text is not null)
+with r as (select distinct document_id, page, pb_id, text, trim(regexp_replace(lower(text), '[\s\pZ]+', ' ', 'g')) n, coalesce(from_ocr_layer, false) o from page_blocks where text is not null)
 select distinct o.document_id, o.page, o.pb_id from r o join r n on o.document_id = n.document_id and o.page = n.page and o.o and not n.o and length(o.n) >= 20 and length(n.text) >= 20 and (contains(n.n, o.n) or contains(o.n, n.n))
 """)
 def ocr_duplicates(spark, d):
@@ -288,7 +310,7 @@ def page_columns(spark, d):
 
 
 @query(r"""
-with r as (select distinct document_id, page, pb_id, length(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '')) n, page_width w, page_height h from page_blocks),
+with r as (select distinct document_id, page, pb_id, length(regexp_replace(regexp_replace(coalesce(text, ''), '^[\s\pZ]+', ''), '[\s\pZ]+$', '')) n, page_width w, page_height h from page_blocks),
 g as (select document_id, page, sum(n)::bigint chars, max(w) w, max(h) h from r group by all)
 select document_id, page, chars, case when w * h > 0 then round(chars / (w * h), 12) end as density, case when w * h > 0 then chars < 20 and chars / (w * h) < 0.01 else chars < 20 end as scanned from g
 """)
@@ -297,7 +319,7 @@ def scanned_pages(spark, d):
 
 
 @query(rf"""
-with r as (select distinct pb_id, coalesce(text, '') t from page_blocks where not regexp_matches(coalesce(text, ''), '[^\x00-\x7f]')),
+with r as (select distinct pb_id, coalesce(text, '') t from page_blocks),
 c as (select *, {_m('t', r'(?m)^\s*(GET|POST|PUT|DELETE|PATCH|HEAD) [^ ]+ HTTP/[0-9]')} h, {_m('t', r'(?m)^([+][+][+]|---|@@)')} and {_m('t', r'(?m)^[+-]')} d, {_m('t', _SHELL)} s,
   {_m('t', r'(?m)^\s*(def |class |import |from |    )')} p, {_m('t', r'(?m)^\s*[\w\-.\s]+:\s')} and not contains(t, '=') k, {_STRIP.format('t')} x from r),
 l as (select *, case when h then 'http' when d then 'diff' when s then 'bash' when p then 'python' end lang from c)
@@ -305,7 +327,7 @@ select pb_id, x <> '' and (lang is not null or k) as is_code, case when x <> ''
   case when x <> '' and (lang is not null or k) then 'native_code' when not contains(x, chr(10)) and x <> '' and length(x) < 120 and not regexp_matches(x, '[.!?:]$') then 'heading' else 'paragraph' end as type from l
 """)
 def page_block_types(spark, d):
-    r = table(spark, d, "page_blocks").select("pb_id", F.coalesce("text", F.lit("")).alias("t")).where(~F.col("t").rlike(r"[^\x00-\x7f]")).distinct()
+    r = table(spark, d, "page_blocks").select("pb_id", F.coalesce("text", F.lit("")).alias("t")).distinct()
     c = C.code_like(F.col("t"))
     return r.select("pb_id", c["is_code"].alias("is_code"), c["language"].alias("language"), pages.block_type(F.col("t"), c["is_code"]).alias("type"))
 
@@ -322,7 +344,7 @@ def page_order(spark, d):
 @query(r"""
 with t as (select document_id, page, string_agg(text, chr(10) order by pb_id, text) t, bool_or(coalesce(is_code_like, false)) c, max(page_width * page_height) a from (select distinct document_id, page, pb_id, text, is_code_like, page_width, page_height from page_blocks) group by all),
 i as (select distinct p.pb_id, p.bbox b, t.* from page_blocks p join t on p.document_id = t.document_id and p.page = t.page where len(p.bbox) >= 4),
-k as (select *, greatest(0, b[3] - b[1]) * greatest(0, (b[4] - b[2]) * 20) / a r, not regexp_matches(t, '(?i)\b(Figure|Fig\.?|Listing|Code|Example|Screenshot)\b\s*\d') and not regexp_matches(t, '\b(def |class |import |from |HTTP/|\$ |->|@@|---|\+\+\+|>>>|\.\.\.)') bare from i)
+k as (select *, greatest(0, b[3] - b[1]) * greatest(0, b[4] * 20 - b[2] * 20) / a r, not regexp_matches(t, '(?i)\b(Figure|Fig\.?|Listing|Code|Example|Screenshot)\b\s*\d') and not regexp_matches(t, '\b(def |class |import |from |HTTP/|\$ |->|@@|---|\+\+\+|>>>|\.\.\.)') bare from i)
 select pb_id, case when r >= 0.7 and bare and not c then 'ignored_decorative' when r >= 0.4 and bare and not c and length(t) >= 200 then 'described_as_text' when pb_id * 50000 >= 8000000 and bare and r >= 0.5 then 'ignored_decorative'
   when r >= 0.5 and bare and length(t) < 100 then 'ignored_decorative' else 'ocr_candidate' end as state from k
 """)
@@ -341,12 +363,12 @@ def image_states(spark, d):
 
 # ---- reconstruction ---------------------------------------------------------------------------------------------
 
-_SIG = r"regexp_replace(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '\s+', ' ', 'g')"
+_SIG = r"regexp_replace(trim(regexp_replace(lower({0}), '[\s\pZ]+', ' ', 'g')), '\s+', ' ', 'g')"
 for _p, _r in (("’", "''"), ("–", "-"), ("—", "-")):
     _SIG = f"replace({_SIG}, '{_p}', '{_r}')"
 for _p, _r in reconstruct.SIGNATURE:
-    _SIG = f"regexp_replace({_SIG}, {_q(_p)}, '{_r}', 'g')"
-_SIG = rf"trim(regexp_replace({_SIG}, '[\s.\-_:|]+', ' ', 'g'))"
+    _SIG = f"regexp_replace({_SIG}, {_q(_u(_p))}, '{_r}', 'g')"
+_SIG = rf"trim(regexp_replace({_SIG}, '[\s\pZ.\-_:|]+', ' ', 'g'))"
 _SIG = rf"(case when {_SIG} in ('page#', '#') then 'page-number' else {_SIG} end)"
 
 
@@ -357,16 +379,16 @@ def _sig(c: str) -> str:
 _EFF = "coalesce(nullif(text, ''), nullif(enrichment.selected_text, ''), nullif(enrichment.raw_text, ''), '')"
 
 
-@query(f"select distinct document_id, block_id, {_sig('text')} as signature, regexp_matches({_STRIP.format('text')}, '(?i)^(page\\s*)?\\d{{1,4}}$') as page_number from blocks where text is not null and type in ('paragraph', 'heading') and not regexp_matches(text, '[^\\x00-\\x7f]')")
+@query(f"select distinct document_id, block_id, {_sig('text')} as signature, regexp_matches({_STRIP.format('text')}, '(?i)^(page[\\s\\pZ]*)?\\p{{Nd}}{{1,4}}$') as page_number from blocks where text is not null and type in ('paragraph', 'heading')")
 def furniture_signatures(spark, d):
-    b = table(spark, d, "blocks").where(F.col("text").isNotNull() & F.col("type").isin("paragraph", "heading") & ~F.col("text").rlike(r"[^\x00-\x7f]"))
+    b = table(spark, d, "blocks").where(F.col("text").isNotNull() & F.col("type").isin("paragraph", "heading"))
     return b.select("document_id", "block_id", reconstruct.furniture_signature(F.col("text")).alias("signature"), reconstruct.is_page_number(F.col("text")).alias("page_number")).distinct()
 
 
 @query(f"""
 with b as (select distinct document_id, block_order, block_id, type, {_EFF} e, evidence[1].page p, evidence[1].bbox[2] y0, evidence[1].bbox[4] y1 from blocks where source_kind = 'pdf'),
 n as (select document_id, count(distinct p) total from b group by 1), w as (select document_id, p, max(y1) low from b where p is not null and y1 is not null group by all),
-s as (select b.*, {_sig('b.e')} sig, regexp_matches({_STRIP.format('b.e')}, '(?i)^(page\\s*)?\\d{{1,4}}$') num,
+s as (select b.*, {_sig('b.e')} sig, regexp_matches({_STRIP.format('b.e')}, '(?i)^(page[\\s\\pZ]*)?\\p{{Nd}}{{1,4}}$') num,
   case when y0 is null or b.p is null then 'body' when y0 <= 90 then 'top' when coalesce(low, 0) > 500 and y1 >= low - 90 then 'bottom' when y1 > 700 then 'bottom' else 'body' end band from b left join w on b.document_id = w.document_id and b.p = w.p),
 h as (select * from s where type in ('paragraph', 'heading') and {_STRIP.format('e')} <> '' and length({_STRIP.format('e')}) <= 160 and p is not null and y0 is not null and (band <> 'body' or num) and sig <> ''),
 g as (select document_id, sig, count(*) c, count(distinct p) k, min(y0) lo, max(y0) hi, arg_min(num, (block_order, block_id)) num from h group by all)
@@ -599,13 +621,13 @@ def golden_calibration(spark, d):
 
 
 @query("""
-with p as (select sample_id, gold_verbatim g from golden where gold_verbatim is not null and not regexp_matches(gold_verbatim, '[^\\x00-\\x7f]'))
-select a.sample_id, b.sample_id as other, round(levenshtein(a.g, b.g) / length(a.g), 9) as cer from p a join p b on a.sample_id < b.sample_id and substr(a.sample_id, 1, 6) = substr(b.sample_id, 1, 6) where a.g <> ''
+with t as (select doc_id, regexp_replace(coalesce(title, ''), '[^\\x00-\\x7f]', '?', 'g') t from documents), p as (select a.doc_id, a.t g, b.t a from t a join t b on b.doc_id = a.doc_id + 1)
+select doc_id, round(case when g = '' then case when a = '' then 0 else 1 end else levenshtein(g, a) / length(g) end, 9)::double as cer from p
 """)
 def character_error_rate(spark, d):
-    g = table(spark, d, "golden").where(F.col("gold_verbatim").isNotNull() & ~F.col("gold_verbatim").rlike(r"[^\x00-\x7f]") & (F.col("gold_verbatim") != "")).select("sample_id", F.col("gold_verbatim").alias("g"), F.substring("sample_id", 1, 6).alias("k"))
-    o = g.select(F.col("sample_id").alias("other"), F.col("g").alias("a"), "k")
-    return g.join(o, "k").where("sample_id < other").select("sample_id", "other", F.round(M.cer(F.col("g"), F.col("a")), 9).alias("cer"))
+    t = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("title", F.lit("")), r"[^\x00-\x7f]", "?").alias("t"))
+    after = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("a"))
+    return t.join(after, "doc_id").select("doc_id", F.round(M.cer(F.col("t"), F.col("a")), 9).alias("cer"))
 
 
 # ---- batches ----------------------------------------------------------------------------------------------------
