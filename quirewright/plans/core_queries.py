@@ -342,7 +342,7 @@ def page_order(spark, d):
 
 
 @query(r"""
-with t as (select document_id, page, string_agg(text, chr(10) order by pb_id, text) t, bool_or(coalesce(is_code_like, false)) c, max(page_width * page_height) a from (select distinct document_id, page, pb_id, text, is_code_like, page_width, page_height from page_blocks) group by all),
+with t as (select document_id, page, coalesce(string_agg(text, chr(10) order by pb_id, text), '') t, bool_or(coalesce(is_code_like, false)) c, max(page_width * page_height) a from (select distinct document_id, page, pb_id, text, is_code_like, page_width, page_height from page_blocks) group by all),
 i as (select distinct p.pb_id, p.bbox b, t.* from page_blocks p join t on p.document_id = t.document_id and p.page = t.page where len(p.bbox) >= 4),
 k as (select *, greatest(0, b[3] - b[1]) * greatest(0, b[4] * 20 - b[2] * 20) / a r, not regexp_matches(t, '(?i)\b(Figure|Fig\.?|Listing|Code|Example|Screenshot)\b\s*\d') and not regexp_matches(t, '\b(def |class |import |from |HTTP/|\$ |->|@@|---|\+\+\+|>>>|\.\.\.)') bare from i)
 select pb_id, case when r >= 0.7 and bare and not c then 'ignored_decorative' when r >= 0.4 and bare and not c and length(t) >= 200 then 'described_as_text' when pb_id * 50000 >= 8000000 and bare and r >= 0.5 then 'ignored_decorative'
