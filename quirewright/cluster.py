@@ -21,6 +21,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
 #: Copies of each row of the smaller side in a salted join; a key that holds a third of all rows is read by so many tasks.
 SALTS = 16
+#: A table of at most so many bytes may be redistributed for parallelism.
+SPREAD_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -111,21 +113,20 @@ def dense_rank_in_groups(df: DataFrame, key: str, order: Sequence[str], rank: st
     )
 
 
-def spread_small_files(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy stages as many tasks as there are cores where a few small files make fewer.
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy stages a task for each core where a small table lies in fewer files than there are cores.
 
-    Large inputs already have more splits than that and are left alone, so nothing is shuffled there.
+    Only a plain scan of at most ``SPREAD_BYTES`` is spread; a larger one has splits enough and is not shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    return df.repartition(cores) if 0 < len(files) < cores and parquet_bytes(df) <= SPREAD_BYTES else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a test-data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of a test-data folder, spread over the cores if asked for and small."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df) if spread else df
 
 
 def first_set(*cols: Column) -> Column:

@@ -119,12 +119,12 @@ select n.doc_id, n::int as lines, s::int as short_lines, n >= 20 and s / n > 0.8
   coalesce(most / n > 0.6, false) as extremely_duplicated from n left join m using (doc_id)
 """)
 def page_flags(spark, d):
-    return quality.page_flags(table(spark, d, "documents"), "doc_id").drop("repeated_chars")
+    return quality.page_flags(table(spark, d, "documents", spread=True), "doc_id").drop("repeated_chars")
 
 
 @query()
 def page_flags_repeated(spark, d):
-    return quality.page_flags(table(spark, d, "documents"), "doc_id").select("doc_id", "repeated_chars")
+    return quality.page_flags(table(spark, d, "documents", spread=True), "doc_id").select("doc_id", "repeated_chars")
 
 
 @query(rf"""
@@ -133,7 +133,7 @@ f as (select doc_id, list_filter(l, lambda x: not starts_with(x, '```'))[1] f fr
 select doc_id, substr(case when starts_with(f, '# ') then {_STRIP.format("substr(f, 3)")} else f end, 1, 200) as title from f
 """)
 def titles(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.title_of(F.coalesce("text", F.lit(""))).alias("title"))
+    return table(spark, d, "documents", spread=True).select("doc_id", T.title_of(F.coalesce("text", F.lit(""))).alias("title"))
 
 
 @query(r"""
@@ -143,14 +143,14 @@ select doc_id, (len(regexp_extract_all(x, '!\[[^\]]*\]\([^)]*\)')) + len(regexp_
 """)
 def image_references(spark, d):
     extra = F.when(F.col("doc_id") % 3 == 0, ' ![a](b.png) <IMG src="x">').when(F.col("doc_id") % 3 == 1, " data:image/png;base64,AAAA").otherwise("")
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), extra).alias("x"))
+    t = table(spark, d, "documents", spread=True).select("doc_id", F.concat(F.coalesce("text", F.lit("")), extra).alias("x"))
     return t.select("doc_id", T.count_image_references(F.col("x")).alias("image_refs"), F.sha2(T.strip_image_references(F.col("x")), 256).alias("stripped_sha"))
 
 
 @query()
 def unclosed_fences(spark, d):
     t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "\n```python\nx").otherwise(""))
-    return table(spark, d, "documents").select("doc_id", T.unclosed_fence(t).alias("unclosed"), T.unclosed_fence(t, strict=False).alias("unclosed_anywhere"))
+    return table(spark, d, "documents", spread=True).select("doc_id", T.unclosed_fence(t).alias("unclosed"), T.unclosed_fence(t, strict=False).alias("unclosed_anywhere"))
 
 
 @query(r"""
@@ -190,7 +190,7 @@ select document_id, block_id, c as class, case when c in ('http', 'diff') then c
   regexp_matches(t, '[^\s\pZ]{{81,}}') or (length(regexp_replace(t, '[\s\pZ]', '', 'g')) > 60 and not contains(t, ' ')) as space_merged from c
 """)
 def text_classes(spark, d):
-    v = table(spark, d, "blocks").where(F.col("enrichment.raw_text").isNotNull())
+    v = table(spark, d, "blocks", spread=True).where(F.col("enrichment.raw_text").isNotNull())
     v = v.select("document_id", "block_id", F.col("enrichment.raw_text").alias("t")).distinct().withColumn("class", C.classify_text(F.col("t")))
     return v.select("document_id", "block_id", "class", C.detect_language(F.col("t"), F.col("class")).alias("language"), C.looks_space_merged(F.col("t")).alias("space_merged"))
 
@@ -206,7 +206,7 @@ select document_id, block_id, least(1.0, len(list_intersect(list_distinct(list_f
    when 'terminal' then case when regexp_matches(t, '(?m)^[\\s\\pZ]*[$>][\\s\\pZ]') then 1.0 else 0.3 end when 'code' then case when regexp_matches(t, '(?m):[\\s\\pZ]*$|;[\\s\\pZ]*$') then 0.8 else 0.5 end else 0.5 end)::double as type_tokens from l
 """)
 def structural_scores(spark, d):
-    v = table(spark, d, "blocks").where((F.col("enrichment.raw_text") != ""))
+    v = table(spark, d, "blocks", spread=True).where((F.col("enrichment.raw_text") != ""))
     v = v.select("document_id", "block_id", F.coalesce("visual_type", F.lit("unknown")).alias("k"), F.col("enrichment.raw_text").alias("t")).distinct()
     t = F.col("t")
     return v.select("document_id", "block_id", C.keyword_density(t).alias("keywords"), F.round(C.line_length(t), 9).alias("line_length"), F.round(C.space_ratio(t), 9).alias("spaces"), C.type_tokens(t, F.col("k")).alias("type_tokens"))
@@ -214,7 +214,7 @@ def structural_scores(spark, d):
 
 @query()
 def structural_score(spark, d):
-    v = table(spark, d, "blocks").where("enrichment.raw_text is not null").select("document_id", "block_id", "visual_type", F.col("enrichment.raw_text").alias("t")).distinct()
+    v = table(spark, d, "blocks", spread=True).where("enrichment.raw_text is not null").select("document_id", "block_id", "visual_type", F.col("enrichment.raw_text").alias("t")).distinct()
     return v.select("document_id", "block_id", C.bracket_balance(F.col("t")).alias("brackets"), C.structural_score(F.col("t"), F.col("visual_type")).alias("score"))
 
 
@@ -240,7 +240,7 @@ def panel_segments(spark, d):
 
 @query()
 def code_repairs(spark, d):
-    v = table(spark, d, "blocks").where("type = 'visual' and enrichment.raw_text is not null").select("document_id", "block_id", "visual_type", F.col("enrichment.raw_text").alias("t")).distinct()
+    v = table(spark, d, "blocks", spread=True).where("type = 'visual' and enrichment.raw_text is not null").select("document_id", "block_id", "visual_type", F.col("enrichment.raw_text").alias("t")).distinct()
     return v.select("document_id", "block_id", enrich.repaired(F.col("t"), F.col("visual_type")).alias("selected_text"), enrich.steps(F.col("t"), F.col("visual_type")).alias("steps"))
 
 
@@ -268,7 +268,7 @@ p as (select document_id, unnest(regexp_extract_all(w, '[a-z0-9_\-]+')) tok from
 select document_id, document_id as title, (count(*) filter (tok = 'cache') + 2 * count(*) filter (tok = 'worker'))::double as score from p where tok in ('cache', 'worker') group by 1 order by score desc, document_id limit 100
 """)
 def search_tf(spark, d):
-    corpus = search.search_corpus(table(spark, d, "blocks"), table(spark, d, "manifests"))
+    corpus = search.search_corpus(table(spark, d, "blocks", spread=True), table(spark, d, "manifests"))
     return search.search(corpus, "worker cache Worker")
 
 
@@ -276,7 +276,7 @@ def search_tf(spark, d):
 select document_id, document_id as title, ((length(lower(x)) - length(replace(lower(x), 'under heavy load', ''))) / 16)::double as score from f where contains(lower(x), 'under heavy load') order by score desc, document_id limit 100
 """)
 def search_phrase(spark, d):
-    return search.search(search.search_corpus(table(spark, d, "blocks"), table(spark, d, "manifests")), '"under heavy load"')
+    return search.search(search.search_corpus(table(spark, d, "blocks", spread=True), table(spark, d, "manifests")), '"under heavy load"')
 
 
 @query(r"""
@@ -285,7 +285,7 @@ p as (select doc_id, unnest(regexp_extract_all(w, '[a-z0-9_\-]+')) tok from k)
 select doc_id, tok as token, count(*) as tf from p group by all
 """)
 def postings(spark, d):
-    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "de", "fr", "es")).select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("full_text"))
+    docs = table(spark, d, "documents", spread=True).where(F.col("lang").isin("en", "de", "fr", "es")).select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("full_text"))
     return search.postings(docs).where(F.col("token").rlike(r"^[a-z0-9_\-]+$")).withColumnRenamed("document_id", "doc_id")
 
 
@@ -503,7 +503,7 @@ md as (select document_id, block_order, block_id, case type when 'heading' then
 
 @query("with " + _RENDER + "select distinct document_id, block_id, md from md")
 def block_markdown(spark, d):
-    b = table(spark, d, "blocks")
+    b = table(spark, d, "blocks", spread=True)
     return b.select("document_id", "block_id", render.block_markdown(b.columns).alias("md")).distinct()
 
 
@@ -512,7 +512,7 @@ p as (select document_id, string_agg(case when last = 1 then md else md || chr(1
 select document_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(j, '^\s+', ''), '\s+$', '') || chr(10), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '(?i)<\s*img\b[^>]*>', '', 'g'), '(?i)data:image/[^;]+;base64', '[removed-base64-image]', 'g')) as markdown_sha from p
 """)
 def document_markdown(spark, d):
-    return render.render_documents(table(spark, d, "blocks")).select("document_id", F.sha2("markdown", 256).alias("markdown_sha"))
+    return render.render_documents(table(spark, d, "blocks", spread=True)).select("document_id", F.sha2("markdown", 256).alias("markdown_sha"))
 
 
 @query("select distinct document_id, block_id, coalesce(source_kind, 'unknown') as source_kind, coalesce(provenance_source_ref, '') as source_ref, len(coalesce(evidence, []))::int as evidence_count, coalesce(enrichment.raw_text, text) as raw_text from blocks")
@@ -553,7 +553,7 @@ def visual_context(spark, d):
 
 @query()
 def enriched_visuals(spark, d):
-    b = table(spark, d, "blocks")
+    b = table(spark, d, "blocks", spread=True)
     open_ = b.withColumn("visual_state", F.when(F.col("type") == "visual", F.lit(None).cast("string")).otherwise(F.col("visual_state")))
     results = b.where("type = 'visual' and enrichment is not null").select("document_id", "block_id", F.col("enrichment.raw_text").alias("text"), F.col("enrichment.confidence").alias("confidence")).distinct()
     return enrich.enrich(open_, results)
@@ -561,7 +561,7 @@ def enriched_visuals(spark, d):
 
 @query()
 def candidate_choice(spark, d):
-    v = table(spark, d, "blocks").where("type = 'visual' and enrichment.raw_text is not null").select("document_id", "block_id", "visual_type", "enrichment").distinct()
+    v = table(spark, d, "blocks", spread=True).where("type = 'visual' and enrichment.raw_text is not null").select("document_id", "block_id", "visual_type", "enrichment").distinct()
     views = F.array(F.struct(F.lit(0).alias("view"), F.col("enrichment.raw_text").alias("text"), F.col("enrichment.confidence").alias("confidence")), F.struct(F.lit(1).alias("view"), F.col("enrichment.selected_text").alias("text"), F.col("enrichment.confidence").alias("confidence")))
     return enrich.best_candidates(v.select("document_id", "block_id", "visual_type", F.inline(views)), ["document_id", "block_id"])
 
@@ -710,7 +710,7 @@ def running_performance(spark, d):
 def inventory(spark, d):
     suffix = F.when(F.col("source_type") == "pdf", ".PDF").when(F.col("source_type") == "html", ".htm").otherwise(".txt")
     t = F.coalesce("text", F.lit(""))
-    files = table(spark, d, "documents").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.octet_length(t).cast("long").alias("length"), t.cast("binary").alias("content"))
+    files = table(spark, d, "documents", spread=True).select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.octet_length(t).cast("long").alias("length"), t.cast("binary").alias("content"))
     return batch.inventory(files)
 
 
