@@ -34,7 +34,7 @@ from quirewright.cluster import lookup_join, materialize
 
 WEB = ("url", "html")
 #: Pages read for training, blocks of a segment of the scan, and bounds on one block's part of the sum.
-TRAIN_PAGES, SEGMENT, CLIP = 3000, 512, 6.0
+TRAIN_PAGES, SEGMENT, CLIP = 2000, 512, 6.0
 #: Inside the region a block is the article's unless it scores below; outside it is not unless it scores above.
 INSIDE, OUTSIDE = -2.0, 1.5
 _NTH = re.compile(r":nth-(?:of-type|child)\(\d+\)")

@@ -15,76 +15,76 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.repeated_lines(table(spark, d, "blocks")).select("document_id", "block_id", "line_no")
+    return repeated_lines.repeated_lines(table(spark, d, "blocks", spread=True)).select("document_id", "block_id", "line_no")
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    clean = repeated_lines.without_repeated_lines(table(spark, d, "blocks"))
+    clean = repeated_lines.without_repeated_lines(table(spark, d, "blocks", spread=True))
     return clean.where("source_kind in ('url', 'html')").select("document_id", "block_id", "clean_text", F.size("removed_lines").alias("lines_removed")).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.same_looking(table(spark, d, "blocks"), table(spark, d, "golden"))
+    return lookalikes.same_looking(table(spark, d, "blocks", spread=True), table(spark, d, "golden"))
 
 
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.canonical_tables(table(spark, d, "blocks"), table(spark, d, "golden"))
+    return lookalikes.canonical_tables(table(spark, d, "blocks", spread=True), table(spark, d, "golden"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return record_copies.record_copies(table(spark, d, "page_blocks"))
+    return record_copies.record_copies(table(spark, d, "page_blocks", spread=True))
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    return record_copies.record_classes(table(spark, d, "page_blocks"))
+    return record_copies.record_classes(table(spark, d, "page_blocks", spread=True))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return main_content.boilerplate(table(spark, d, "blocks"), table(spark, d, "dom_images"))
+    return main_content.boilerplate(table(spark, d, "blocks", spread=True), table(spark, d, "dom_images"))
 
 
 def p4_main(spark: SparkSession, d: str) -> DataFrame:
-    kept = main_content.main_blocks(table(spark, d, "blocks"))
+    kept = main_content.main_blocks(table(spark, d, "blocks", spread=True))
     return kept.select("document_id", "block_order", "block_id", "type", "text").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return scan_repair.defects(table(spark, d, "page_blocks"), table(spark, d, "blocks"))
+    return scan_repair.defects(table(spark, d, "page_blocks", spread=True), table(spark, d, "blocks", spread=True))
 
 
 def p5_text(spark: SparkSession, d: str) -> DataFrame:
-    return scan_repair.repaired(table(spark, d, "page_blocks"), table(spark, d, "blocks"))
+    return scan_repair.repaired(table(spark, d, "page_blocks", spread=True), table(spark, d, "blocks", spread=True))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return self_repetition.repetitive(table(spark, d, "blocks"), table(spark, d, "vlm_results"))
+    return self_repetition.repetitive(table(spark, d, "blocks", spread=True), table(spark, d, "vlm_results"))
 
 
 def p6_share(spark: SparkSession, d: str) -> DataFrame:
-    recs = self_repetition.records(table(spark, d, "blocks"), table(spark, d, "vlm_results"))
+    recs = self_repetition.records(table(spark, d, "blocks", spread=True), table(spark, d, "vlm_results"))
     return self_repetition.repetition(recs, self_repetition.train(recs)).distinct()
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = limit_of(table(spark, d, "token_limits"), "pack")
-    return packing.pack(table(spark, d, "documents"), capacity)
+    return packing.pack(table(spark, d, "documents", spread=True), capacity)
 
 
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.copies(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.copies(table(spark, d, "documents", spread=True), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    return mixing.shares_reached(mixing.copies(table(spark, d, "documents"), targets), targets)
+    return mixing.shares_reached(mixing.copies(table(spark, d, "documents", spread=True), targets), targets)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.unsplittable(table(spark, d, "documents"), *limit_of(table(spark, d, "token_limits"), "split"))
+    return splitting.unsplittable(table(spark, d, "documents", spread=True), *limit_of(table(spark, d, "token_limits"), "split"))
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_documents(table(spark, d, "documents"), *limit_of(table(spark, d, "token_limits"), "split"))
+    return splitting.split_documents(table(spark, d, "documents", spread=True), *limit_of(table(spark, d, "token_limits"), "split"))
 
 
 QUERIES: dict[str, Query] = {
