@@ -129,6 +129,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return spread_small(df) if spread else df
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that is computed once, however often it is used: a generator of one row keeps Catalyst from copying it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def first_set(*cols: Column) -> Column:
     """The first of the columns that is neither NULL nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirewright.cluster import once
 from quirewright.functions.text import IMAGE_BASE64, IMAGE_HTML, IMAGE_MARKDOWN, split_lines, strip, unclosed_fence
 
 # Visual types that matter, states that resolve a visual, and the states of coverage.
@@ -161,7 +162,8 @@ def page_flags(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     one_char_per_line, extremely_duplicated, only_furniture, chatty, repeated_chars.
     """
     t = F.coalesce(text, F.lit(""))
-    base = texts.select(key, t.alias("t")).withColumn("lines", F.filter(F.transform(split_lines(F.col("t")), strip), lambda x: x != ""))
+    base = once(texts.select(key, t.alias("t")), "raw", split_lines(F.col("t")))
+    base = once(base, "lines", F.filter(F.transform("raw", strip), lambda x: x != ""))
     n = F.size("lines")
     lines = base.where(n >= 20).select(key, F.explode("lines").alias("line")).groupBy(key, "line").agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.max("c").alias("most"))
     short = F.size(F.filter("lines", lambda x: F.length(x) <= 2))

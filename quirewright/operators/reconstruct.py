@@ -139,45 +139,63 @@ def merge_decision(prev: dict, block: dict) -> tuple[str, str, list[str]]:
 MERGED = "document_id string, block_order int, block_id string, type string, page int, text string, language string, merged_blocks array<string>, transformations array<string>, unsafe_next array<string>"
 
 
-def _fold(pdf):
+_FIELDS = [f.split(" ")[0] for f in MERGED.split(", ")]
+
+
+def _fold(batches):
+    """Fold over rows sorted by document and order. Only the block still open is held, so a document may be of any length."""
     import pandas as pd
 
-    out: list[dict] = []
-    for row in pdf.sort_values(["block_order", "block_id"], kind="stable").to_dict("records"):
-        row["ev_page"] = None if row["ev_page"] is None or row["ev_page"] != row["ev_page"] else int(row["ev_page"])
-        row |= {"merged": [], "steps": [], "unsafe": []}
-        if out and out[-1]["ev_page"] is not None and row["ev_page"] == out[-1]["ev_page"] + 1:
-            kind, text, steps = merge_decision(out[-1], row)
-            if kind in ("prose", "code"):
-                out[-1]["eff_text"] = text
-                out[-1]["merged"].append(row["block_id"])
-                out[-1]["steps"] += steps
+    doc, last, order = None, None, 0
+
+    def closed(block: dict) -> tuple:
+        return (doc, order, block["block_id"], block["type"], block["page"], block["eff_text"], block["eff_language"], block["merged"], block["steps"], block["unsafe"])
+
+    def frame(rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=_FIELDS)
+        out["page"] = pd.array(out["page"].tolist(), "Int32")
+        return out.astype({"block_order": "int32"})
+
+    for pdf in batches:
+        out: list[tuple] = []
+        for d, block_id, kind, page, text, language, codeish in zip(*(pdf[c] for c in ("document_id", "block_id", "type", "ev_page", "eff_text", "eff_language", "codeish"))):
+            block = {"block_id": block_id, "type": kind, "page": None if page is None or page != page else int(page), "eff_text": text, "eff_language": language, "codeish": bool(codeish), "merged": [], "steps": [], "unsafe": []}
+            if last is not None and d != doc:
+                out.append(closed(last))
+                last = None
+            if last is None:
+                doc, last, order = d, block, 0
                 continue
-            if kind == "unsafe":
-                out[-1]["unsafe"].append(row["block_id"])
-        out.append(row)
-    return pd.DataFrame(
-        {
-            "document_id": [r["document_id"] for r in out], "block_order": range(len(out)), "block_id": [r["block_id"] for r in out], "type": [r["type"] for r in out],
-            "page": pd.array([r["ev_page"] for r in out], "Int32"), "text": [r["eff_text"] for r in out], "language": [r["eff_language"] for r in out],
-            "merged_blocks": [r["merged"] for r in out], "transformations": [r["steps"] for r in out], "unsafe_next": [r["unsafe"] for r in out],
-        }
-    )
+            if last["page"] is not None and block["page"] == last["page"] + 1:
+                made, merged, steps = merge_decision(last, block)
+                if made in ("prose", "code"):
+                    last["eff_text"] = merged
+                    last["merged"].append(block_id)
+                    last["steps"] += steps
+                    continue
+                if made == "unsafe":
+                    last["unsafe"].append(block_id)
+            out.append(closed(last))
+            last, order = block, order + 1
+        yield frame(out)
+    if last is not None:
+        yield frame([closed(last)])
 
 
 def merge_pages(blocks: DataFrame) -> DataFrame:
     """Blocks of each document in order, those cut by a page break merged: a fold, because each decision reads the text merged so far.
 
-    Repeated rows count once. A document is one group of the fold; only five narrow columns are handed to it.
+    Documents are hashed to partitions and sorted there; the fold streams over the sorted rows, seven narrow columns of them.
+    Repeated rows count once; rows without a document are left out.
     """
     codeish = (F.col("type") == "native_code") | ((F.col("type") == "visual") & F.coalesce("visual_type", F.lit("")).isin(*CODE_TYPES))
-    narrow = located(blocks).select("document_id", "block_order", "block_id", "type", "ev_page", "eff_text", effective_language().alias("eff_language"), codeish.alias("codeish")).distinct()
-    return narrow.groupBy("document_id").applyInPandas(_fold, MERGED)
+    narrow = located(blocks).where("document_id is not null").select("document_id", "block_order", "block_id", "type", "ev_page", "eff_text", effective_language().alias("eff_language"), codeish.alias("codeish")).distinct()
+    return narrow.repartition("document_id").sortWithinPartitions("document_id", "block_order", "block_id").mapInPandas(_fold, MERGED)
 
 
-def reconstruct(blocks: DataFrame) -> DataFrame:
-    """Furniture removed, then pages merged."""
-    gone = removed_furniture(blocks).select("document_id", "block_id").distinct()
+def reconstruct(blocks: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """Furniture removed (``removed``, if it is known already), then pages merged."""
+    gone = (removed_furniture(blocks) if removed is None else removed).select("document_id", "block_id").distinct()
     return merge_pages(lookup_join(blocks, gone, ["document_id", "block_id"], "left_anti"))
 
 

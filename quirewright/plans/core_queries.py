@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewright.cluster import table
+from quirewright.cluster import materialize, table
 from quirewright.functions import code as C
 from quirewright.functions import metrics as M
 from quirewright.functions import text as T
@@ -408,8 +408,8 @@ def merged_pages(spark, d):
 @query()
 def reconstruction(spark, d):
     b = table(spark, d, "blocks").where("source_kind = 'pdf'")
-    gone = reconstruct.removed_furniture(b)
-    return reconstruct.reconstruction_stats(b, reconstruct.reconstruct(b), gone)
+    gone = materialize(reconstruct.removed_furniture(b), "removed")
+    return reconstruct.reconstruction_stats(b, reconstruct.reconstruct(b, gone), gone)
 
 
 # ---- quality ----------------------------------------------------------------------------------------------------
