@@ -48,24 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and Catalyst knows the size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirewright/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quirewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parquet_bytes(df: DataFrame) -> int:
-    """Bytes of the files that ``df``, a plain scan, reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    return sum(
-        p.getFileSystem(conf).getFileStatus(p).getLen()
-        for p in (jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles())
-    )
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; DataFrames made from it can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quirewright/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df``, a plain scan, reads, as Catalyst knows them: one call however many files there are."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
 def fits_broadcast(scan: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a materialized table is provably small enough to be broadcast."""
-    return parquet_bytes(scan) <= size and scan.count() <= rows
+    return scan_bytes(scan) <= size and scan.count() <= rows
 
 
 def lookup_join(
@@ -76,7 +77,7 @@ def lookup_join(
     spread: Sequence[str] | None = None,
     materialized: bool = False,
 ) -> DataFrame:
-    """Join ``left`` to ``right``, which has at most one row per key, whatever the skew of ``left``.
+    """Join ``left`` to ``right``, the smaller side with few rows per key (one, mostly), whatever the skew of ``left``.
 
     ``right`` is broadcast if its written size allows it. Otherwise every row of ``right`` is
     repeated ``SALTS`` times and the rows of ``left`` are spread over the repeats by a hash of
@@ -120,7 +121,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = df.inputFiles()
-    return df.repartition(cores) if 0 < len(files) < cores and parquet_bytes(df) <= SPREAD_BYTES else df
+    return df.repartition(cores) if 0 < len(files) < cores and scan_bytes(df) <= SPREAD_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:

@@ -161,6 +161,14 @@ def test_ranks_without_whole_groups(spark):
     assert all(x.n == x.d == x.m + 1 for x in per)
 
 
+def test_release(spark):
+    df = cluster.materialize(spark.range(3))
+    assert df.count() == 3 and cluster.scan_bytes(df) > 0
+    cluster.release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(*df.inputFiles()).count()
+
+
 def test_shared_dir_is_demanded_on_a_cluster(spark, monkeypatch):
     class Fake:
         conf = {"spark.checkpoint.dir": None}
