@@ -61,7 +61,7 @@ def release(spark: SparkSession) -> None:
 
 def scan_bytes(df: DataFrame) -> int:
     """Bytes of the files that ``df``, a plain scan, reads, as Catalyst knows them: one call however many files there are."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(scan: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
