@@ -174,8 +174,9 @@ def unclosed_fence(markdown: Column, strict: bool = True) -> Column:
 
 
 def chat_answer(c: Column) -> Column:
-    """What follows the last marker of an assistant's turn."""
-    return strip(F.regexp_replace(c, r"(?s)^.*(?:\n|^)(?:Assistant|assistant|ASSISTANT)\s*:\s*", ""))
+    """What follows the last marker of an assistant's turn, by the first marker that occurs."""
+    after = lambda m: strip(F.substring_index(c, m, -1))
+    return F.when(c.contains("Assistant:"), after("Assistant:")).when(c.contains("assistant:"), after("assistant:")).when(c.contains("<|assistant|>"), after("<|assistant|>")).otherwise(strip(c))
 
 
 def text_regions(c: Column) -> Column:
