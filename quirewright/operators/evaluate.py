@@ -56,14 +56,13 @@ def aggregate(metrics: DataFrame) -> DataFrame:
 def calibrate(metrics: DataFrame, thresholds: list[tuple[float, float]]) -> DataFrame:
     """One row per (low, high): samples accepted, in review and rejected by confidence, and how often the gate of accuracy disagrees.
 
-    All thresholds are read in one pass as conditional aggregates over samples crossed with that short list.
+    All thresholds are read in one pass as conditional aggregates; each sample is repeated for every pair of that short list.
     """
-    spark = metrics.sparkSession
-    pairs = spark.createDataFrame([(float(a), float(b)) for a, b in thresholds], "low double, high double")
+    pairs = F.array(*[F.struct(F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for a, b in thresholds])
     ok = (F.col("cer") <= CER_GATE) & (~F.col("has_critical") | (F.col("critical_token_recall") >= 1.0))
     c = F.col("confidence")
     accepted, review, rejected = c >= F.col("high"), (c >= F.col("low")) & (c < F.col("high")), c < F.col("low")
-    by = metrics.select("cer", "confidence", ok.alias("ok")).crossJoin(F.broadcast(pairs)).groupBy("low", "high").agg(
+    by = metrics.select("cer", "confidence", ok.alias("ok"), F.inline(pairs)).groupBy("low", "high").agg(
         F.count_if(accepted).alias("accepted_count"), F.count_if(review).alias("review_count"), F.count_if(rejected).alias("rejected_count"),
         F.count_if(accepted & ~F.col("ok")).alias("false_accept_count"), F.count_if(review & F.col("ok")).alias("false_review_count"),
         F.avg(F.when(accepted, F.col("cer"))).alias("accepted_mean_cer"), F.avg(F.when(review, F.col("cer"))).alias("review_mean_cer"), F.avg(F.when(rejected, F.col("cer"))).alias("rejected_mean_cer"),

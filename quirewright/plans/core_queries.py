@@ -759,3 +759,34 @@ def revisions(spark, d):
 @query("select canonical_source as document_id, max((ingested_at, status))[2] as status from manifests group by 1")
 def review_status(spark, d):
     return review.review_state(review.effective_revisions(_edits(spark, d))).select("document_id", "status")
+
+
+# ---- whole jobs -------------------------------------------------------------------------------------------------
+
+
+@query()
+def finalized_documents(spark, d):
+    from quirewright.config import profile
+    from quirewright.operators.pipeline import finalize
+
+    b = table(spark, d, "blocks").withColumn("table_rows", F.lit(None).cast("array<array<string>>"))
+    done = finalize(b, profile())
+    return done.diagnostics.select("document_id", "status", "blocks", "markdown_image_count", F.round("overall_quality_score", 9).alias("overall_quality_score"))
+
+
+@query()
+def converted_pages(spark, d):
+    from quirewright.operators.pipeline import convert_pages
+
+    return convert_pages(table(spark, d, "page_blocks")).select("document_id", "block_order", "block_id", "type", "text", "page")
+
+
+@query(f"""
+select document_id, list_sort(list(distinct block_id) filter ({_OPEN})) as unresolved_blocks, list_sort(list(distinct block_id) filter (enrichment.confidence < 0.7 and enrichment.review_required)) as doubtful_blocks
+from {_B} group by 1 having count(*) filter ({_OPEN}) > 0
+""")
+def unresolved_visuals(spark, d):
+    from quirewright.operators.pipeline import diagnostics
+
+    x = diagnostics(_unique(spark, d)).where(F.size("unresolved_blocks") > 0)
+    return x.select("document_id", "unresolved_blocks", F.when(F.size("doubtful_blocks") > 0, F.col("doubtful_blocks")).alias("doubtful_blocks"))
