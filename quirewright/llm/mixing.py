@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirewright.cluster import materialize
@@ -146,5 +147,6 @@ def shares_reached(taken: DataFrame, targets: DataFrame) -> DataFrame:
     )
     joined = targets.select("source", "target_share", "max_repeats").join(F.broadcast(by), "source", "left")
     filled = joined.na.fill(0, ["documents", "tokens_held", "tokens_taken", "most_copies"])
-    whole = filled.agg(F.sum("tokens_taken").alias("__all"))
-    return filled.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("__all") > 0, F.col("tokens_taken") / F.col("__all")).otherwise(0.0)).drop("__all")
+    # a window over the whole table: it has one row per target source
+    whole = F.sum("tokens_taken").over(W.partitionBy(F.lit(1)))
+    return filled.withColumn("actual_share", F.when(whole > 0, F.col("tokens_taken") / whole).otherwise(0.0))
