@@ -790,3 +790,27 @@ def unresolved_visuals(spark, d):
 
     x = diagnostics(_unique(spark, d)).where(F.size("unresolved_blocks") > 0)
     return x.select("document_id", "unresolved_blocks", F.when(F.size("doubtful_blocks") > 0, F.col("doubtful_blocks")).alias("doubtful_blocks"))
+
+
+@query("""
+with e as (select canonical_source document_id, extract('day' from captured_at)::int page_number, case status when 'accepted' then 'verified' when 'rejected' then 'failed' else 'rendered' end state, ingested_at ts from manifests),
+o as (select distinct document_id, page_number, state, ts from e)
+select document_id, page_number, count(*) as updates from o where document_id is not null and page_number is not null group by all
+""")
+def streamed_page_states(spark, d):
+    """The captures as a stream of page states, run through the stateful operator until what is there is processed."""
+    import uuid
+
+    from quirewright.cluster import shared_dir
+    from quirewright.streaming.page_states import page_states
+
+    m = table(spark, d, "manifests")
+    state = F.when(F.col("status") == "accepted", "verified").when(F.col("status") == "rejected", "failed").otherwise("rendered")
+    rows = m.select(F.col("canonical_source").alias("document_id"), F.dayofmonth("captured_at").alias("page_number"), state.alias("state"), F.col("ingested_at").alias("ts"))
+    staged = materialize(rows.where("document_id is not null and page_number is not null").distinct(), "events")
+    folder = f"{shared_dir(spark)}/quirewright/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    stream = page_states(spark.readStream.schema(staged.schema).parquet(staged.inputFiles()[0].rsplit("/", 1)[0]))
+    keep = lambda df, _: df.select("document_id", "page_number", "updates").write.mode("append").parquet(f"{folder}/out")
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.groupBy("document_id", "page_number").agg(F.max("updates").alias("updates"))
