@@ -25,6 +25,7 @@ SALTS = 16
 SPREAD_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dirs[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per application.
+
+    Nothing is done where the workers inherit a PYTHONPATH that has it, or where it is installed.
+    """
+    import os
+    import shutil
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or "site-packages" in home.parts or str(home) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quirewright-"), "quirewright"), "zip", home, "quirewright")
+    spark.sparkContext.addPyFile(made)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and Catalyst knows the size."""
     spark = df.sparkSession
