@@ -174,7 +174,7 @@ def body_containers(pages: dict[str, list[tuple[str, str]]]) -> tuple[set[str],
 def _sample(web: DataFrame, pages: int) -> list:
     ids = web.select("document_id").distinct().orderBy(F.xxhash64("document_id"), "document_id").limit(pages)
     cols = web.select("document_id", "type", "text", F.col("evidence")[0]["selector"].alias("selector"), "extra").where("document_id is not null")
-    return cols.join(F.broadcast(ids), "document_id").distinct().collect()
+    return sorted(cols.join(F.broadcast(ids), "document_id").distinct().collect(), key=str)
 
 
 def train(blocks: DataFrame, images: DataFrame | None = None, pages: int = TRAIN_PAGES) -> tuple[Weights, Weights]:
@@ -197,7 +197,7 @@ def train(blocks: DataFrame, images: DataFrame | None = None, pages: int = TRAIN
     if images is None:
         return weights, Weights(PRIOR)
     ids = blocks.sparkSession.createDataFrame([(d,) for d in sorted(named)], "document_id string")
-    pics = images.join(F.broadcast(ids), "document_id").distinct().collect()
+    pics = sorted(images.join(F.broadcast(ids), "document_id").distinct().collect(), key=str)
     labelled = []
     for p in pics:
         c = container(p.selector, 2)
