@@ -161,6 +161,13 @@ def test_ranks_without_whole_groups(spark):
     assert all(x.n == x.d == x.m + 1 for x in per)
 
 
+def test_hash_sample(spark):
+    df = spark.range(5000)
+    a = sorted(r.id for r in cluster.hash_sample(df, ["id"], 300).collect())
+    assert len(a) == 300 and a == sorted(r.id for r in cluster.hash_sample(df.repartition(7), ["id"], 300).collect())
+    assert cluster.hash_sample(df, ["id"], 9000).count() == 5000
+
+
 def test_release(spark):
     df = cluster.materialize(spark.range(3))
     assert df.count() == 3 and cluster.scan_bytes(df) > 0
