@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirewright.cluster import lookup_join, materialize
+from quirewright.cluster import hash_sample, lookup_join, materialize
 
 WEB = ("url", "html")
 #: Pages read for training, blocks of a segment of the scan, and bounds on one block's part of the sum.
@@ -172,7 +172,7 @@ def body_containers(pages: dict[str, list[tuple[str, str]]]) -> tuple[set[str],
 
 
 def _sample(web: DataFrame, pages: int) -> list:
-    ids = web.select("document_id").distinct().orderBy(F.xxhash64("document_id"), "document_id").limit(pages)
+    ids = hash_sample(materialize(web.select("document_id").where("document_id is not null").distinct(), "pages"), ["document_id"], pages)
     cols = web.select("document_id", "type", "text", F.col("evidence")[0]["selector"].alias("selector"), "extra").where("document_id is not null")
     return sorted(cols.join(F.broadcast(ids), "document_id").distinct().collect(), key=str)
 
