@@ -5,8 +5,8 @@ calibrated, scored in Arrow batches against a fixed threshold. The hashed featur
 kind together with its occurrence number in the record (first, second, third or fourth, later) and its
 hash, weighted by characters; so the model sees how much of a record is n-grams met before, and whether
 certain phrases (boiled-over templates) tell more. Labels come from the exact measure over a sample of at
-most ``train_rows`` records. The score screens at ``screen`` (far below the decision), then the exact share of the
-screened records is measured; the share itself is what the operator returns.
+most ``train_rows`` records. The probability is given beside the share and decides nothing: the exact share is measured
+for every record, and it alone tells which are repetitive.
 
 The exact share: characters of words that lie in a word trigram (or, in text without spaces, a character 12-gram)
 that stood in the record before, all occurrences beyond the first counted, of all non-space characters.
@@ -14,7 +14,7 @@ that stood in the record before, all occurrences beyond the first counted, of al
 Scale: a map over records in Arrow batches, no shuffle of text; training is bounded. A record is measured in
 time proportional to its length.
 
-Cases: NULL, empty and blank texts have share 0; with no labelled rows, or one class only, the screen lets all through.
+Cases: NULL, empty and blank texts have share 0; with no labelled rows, or one class only, every probability is 1.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ from pyspark.sql import functions as F
 
 from quirewright.cluster import hash_sample
 
-#: Hashed dimensions, bound on labelled rows, and the screening probability.
+#: Hashed dimensions, and bound on labelled rows.
 DIMENSIONS = 1 << 12
 TRAIN_ROWS = 2000
-SCREEN = 0.02
 MIN_SHARE = 0.4
 _GRAM, _CHARS = 3, 12
 
@@ -75,8 +74,9 @@ def repeated_share(text: str | None) -> float:
 
 
 def features(text: str) -> dict[int, float]:
-    """Hashed n-gram features of a record, normalized by its length."""
+    """Hashed n-gram features of a record, normalized by its length; a record of no more units than an n-gram has counts by its units, as in the exact share."""
     units, n = _units(text)
+    n = n if len(units) > n else 1
     out: dict[int, float] = {}
     if not units:
         return out
@@ -161,14 +161,13 @@ def train(recs: DataFrame, min_share: float = MIN_SHARE, train_rows: int = TRAIN
     return Quality.train(texts, [repeated_share(t) >= min_share for t in texts])
 
 
-def repetition(recs: DataFrame, model: Quality, screen: float = SCREEN) -> DataFrame:
-    """``recs`` without their text, with ``probability`` and, where that reaches ``screen``, the exact ``share`` (else 0)."""
+def repetition(recs: DataFrame, model: Quality) -> DataFrame:
+    """``recs`` without their text, with ``probability`` and the exact ``share``, both 0 for empty texts."""
 
     @F.pandas_udf("probability double, share double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            p = [model.probability(t) if t else 0.0 for t in s]
-            yield pd.DataFrame({"probability": p, "share": [repeated_share(t) if q >= screen else 0.0 for t, q in zip(s, p)]})
+            yield pd.DataFrame({"probability": [model.probability(t) if t else 0.0 for t in s], "share": [repeated_share(t) for t in s]}, dtype="float64")
 
     scored = recs.withColumn("__s", score("text"))
     return scored.select("place", "document_id", "block_id", "__s.probability", "__s.share")
@@ -176,5 +175,10 @@ def repetition(recs: DataFrame, model: Quality, screen: float = SCREEN) -> DataF
 
 def repetitive(blocks: DataFrame, vlm_results: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """(place, document_id, block_id) of records of which at least ``min_share`` repeats what stood in them before."""
-    recs = records(blocks, vlm_results)
-    return repetition(recs, train(recs, min_share)).where(F.col("share") >= min_share).select("place", "document_id", "block_id").distinct()
+
+    @F.pandas_udf("double")
+    def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([repeated_share(t) for t in s], dtype="float64")
+
+    return records(blocks, vlm_results).where(share("text") >= min_share).select("place", "document_id", "block_id").distinct()

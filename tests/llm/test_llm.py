@@ -329,6 +329,16 @@ def test_repetitive(spark, blocks_of):
     assert self_repetition.repetitive(blocks_of(rows).limit(0), v.limit(0)).count() == 0
 
 
+def test_every_record_has_its_exact_share(spark):
+    texts = ["foo foo foo", "one two three four one two three nine ten eleven twelve", "all words here are new ones", "", None]
+    recs = spark.createDataFrame([("raw_text", "d1", str(i), t) for i, t in enumerate(texts)], "place string, document_id string, block_id string, text string")
+    sure = self_repetition.Quality(np.zeros(self_repetition.DIMENSIONS), -20.0)  # takes no record for repetitive
+    got = {r.block_id: r.share for r in self_repetition.repetition(recs, sure).collect()}
+    assert got == pytest.approx({str(i): self_repetition.repeated_share(t) for i, t in enumerate(texts)})
+    assert got["0"] == pytest.approx(2 / 3) and 0 < got["1"] < 0.4 and got["2"] == 0
+    assert self_repetition.features("foo foo foo") and not self_repetition.features("foo bar baz")
+
+
 # ---- problems 8 to 10 -------------------------------------------------------------------------------------------
 
 
