@@ -1,7 +1,7 @@
 """Noise in text from scanned pages (problem 5).
 
-Method. Corrections: candidates for a suspicious token come from an inverted join on character q-grams
-(the token's two rarest against all of a word's), gradient-boosted trees rank them. Lines: one
+Method. Corrections: candidates for a suspicious token come from an inverted join on the deletion
+neighbourhoods of stroke forms (forms within one edit of each other share a member, so none is missed), gradient-boosted trees rank them. Lines: one
 boosted classifier judges pairs of line ends (is the mark at the break part of the word), another judges whether a short line is furniture
 (running header, footer, page number) from its form and how it recurs on the document's pages.
 
@@ -133,6 +133,24 @@ def _grams(key: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
+def deletion_keys(key: str) -> list[int]:
+    """Hashes of a string and of what is left of it without any one character, in linear time.
+
+    Two strings within edit distance 1 share at least one of these; strings that share one are at distance 2 at most.
+    """
+    n = len(key)
+    powers, before, after = [1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i, c in enumerate(key):
+        powers[i + 1] = powers[i] * _BASE % _PRIME
+        before[i + 1] = (before[i] * _BASE + ord(c) + 1) % _PRIME
+    for i in range(n - 1, -1, -1):
+        after[i] = ((ord(key[i]) + 1) * powers[n - 1 - i] + after[i + 1]) % _PRIME
+    return sorted({before[n], *((before[i] * powers[n - 1 - i] + after[i + 1]) % _PRIME for i in range(n))})
+
+
 def pair_features(token: str, word: str, n: float, m: float) -> list[float]:
     """What tells that ``token`` (seen ``n`` times) is a misreading of ``word`` (seen ``m`` times)."""
     a, b = shape_key(token), shape_key(word)
@@ -153,28 +171,23 @@ def _near(token: str, word: str) -> bool:
 
 
 def candidates(vocab: DataFrame) -> DataFrame:
-    """(token, n, word, m): words that share q-grams with a less frequent token and are near it in form."""
+    """(token, n, word, m): all words, more frequent by far, that a token is near to in form."""
 
-    @F.pandas_udf("array<string>")
-    def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<bigint>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: sorted(set(_grams(shape_key(t)))))
+            yield s.map(lambda t: deletion_keys(shape_key(t)))
 
-    single = vocab.where(~F.col("token").contains("-")).withColumn("grams", grams("token"))
-    single = materialize(single, "grams")
+    single = materialize(vocab.where(~F.col("token").contains("-")).withColumn("keys", keys("token")), "keys")
     words = single.where((F.col("n") >= SUPPORT) & F.col("token").rlike(r"^\p{L}+$") & ~F.col("token").rlike("[ﬁﬂ]"))
-    postings = words.select(F.explode("grams").alias("gram"), F.col("token").alias("word"), F.col("n").alias("m"))
-    # three characters of one class each: the table of counts has a size of the alphabet, not of the data
-    frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    own = lookup_join(single.select("token", "n", F.explode("grams").alias("gram")), frequency, ["gram"], spread=["token"])
-    rare = own.groupBy("token", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, 2).alias("g"))
-    rare = rare.select("token", "n", F.explode("g.gram").alias("gram"))
+    words = words.select(F.explode("keys").alias("key"), F.col("token").alias("word"), F.col("n").alias("m"))
 
     @F.pandas_udf("boolean")
     def near(token: pd.Series, word: pd.Series) -> pd.Series:
         return pd.Series([_near(a, b) for a, b in zip(token, word)], dtype=bool)
 
-    pairs = rare.join(postings, "gram").where((F.col("m") >= F.col("n") * RATIO) & (F.col("token") != F.col("word")) & (F.abs(F.length("token") - F.length("word")) <= 3))
+    # a key is shared by no more forms than one inserted character makes of it
+    pairs = single.select("token", "n", F.explode("keys").alias("key")).join(words, "key").where((F.col("m") >= F.col("n") * RATIO) & (F.col("token") != F.col("word")))
     return pairs.select("token", "n", "word", "m").distinct().where(near("token", "word"))
 
 

@@ -277,6 +277,27 @@ def test_defects_awkward(spark, blocks_of):
     assert scan_repair.repaired(p.limit(0), b.limit(0)).count() == 0
 
 
+def test_candidates_are_complete(spark):
+    rng = random.Random(6)
+    # many words with the trigrams that a misreading makes, so that these aren't the rare ones
+    words = sorted({"after", "fat", *("".join(rng.choice("aftre") for _ in range(rng.randint(3, 6))) for _ in range(150))})
+    tokens = sorted({"atter", "fzt", "xafter", *(w[:i] + rng.choice("xyz") + w[i + k :] for w in words[::3] for i in (0, 1, len(w) - 1) for k in (0, 1))} - set(words))
+    vocab = spark.createDataFrame([(w, 500) for w in words] + [(t, 1) for t in tokens], "token string, n long")
+    got = {(r.token, r.word) for r in scan_repair.candidates(vocab).collect()}
+    assert got == {(t, w) for t in tokens for w in words if scan_repair._near(t, w)}
+    assert {("atter", "after"), ("fzt", "fat"), ("xafter", "after")} <= got
+
+
+def test_deletion_keys():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(2))
+        shared = bool(set(scan_repair.deletion_keys(a)) & set(scan_repair.deletion_keys(b)))
+        assert shared == bool({a, *(a[:i] + a[i + 1 :] for i in range(len(a)))} & {b, *(b[:i] + b[i + 1 :] for i in range(len(b)))})
+        assert shared or scan_repair.distance(a, b, 1) > 1
+    assert len(scan_repair.deletion_keys("x" * 20_000)) == 2
+
+
 def test_repair_text():
     t = "Page 3\nThe conncc-\ntor reads\nthe Journa1.\n\nNext part."
     assert scan_repair.repair_text(t, True, ["Page 3"], [("conncc", "-", "tor")], {"conncctor": "connector", "journa1": "journal"}) == "The connector reads the Journal.\n\nNext part."
