@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from quirewright.cluster import hash_sample, lookup_join, materialize
 from quirewright.llm.boosting import Boosted
 from quirewright.llm.lookalikes import CYRILLIC, GREEK, canonical_text
+from quirewright.operators.pages import page_columns
 
 #: Bounds on what training reads, least count of a word that can be a correction, and how much more frequent it must be.
 TRAIN_ROWS, TRAIN_WORDS, TRAIN_LINES = 2000, 3000, 20_000
@@ -73,14 +74,18 @@ def distance(a: str, b: str, most: int = 3) -> int:
 
 
 def records(page_blocks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(place, record_id, document_id, page, text, prose, band): every text of a PDF document.
+    """(place, record_id, document_id, page, text, prose, band, spot): every text of a PDF document.
 
-    ``band`` is 1 in the margins, 0 in the body, NULL where the record has no box. ``prose`` is false for code.
+    ``band`` is 1 in the margins, 0 in the body, NULL where the record has no box. ``prose`` is false for code. ``spot``
+    places a record among its document's: layer and, by the box, page, right half of the page, top and left of a page block, the order of a block; NULL where there is none.
     """
+    spot = lambda known, layer, *k: F.when(known, F.struct(layer.alias("layer"), *[x.cast("double").alias(f"k{i}") for i, x in enumerate(k)]))
+    box, zero = F.col("bbox"), F.lit(0.0)
     band = lambda box, height: F.when(F.size(box) >= 4, F.when((box[1] < height * TOP) | (box[1] > height * BOTTOM), 1).otherwise(0))
     a = page_blocks.where("text is not null and pb_id is not null").select(
         F.lit("page_block").alias("place"), F.col("pb_id").cast("string").alias("record_id"), "document_id", "page", "text",
         (~F.coalesce("is_code_like", F.lit(False))).alias("prose"), band(F.col("bbox"), F.coalesce(F.nullif("page_height", F.lit(0.0)), F.lit(HEIGHT))).alias("band"),
+        spot((F.size("bbox") >= 4) & F.col("page").isNotNull(), F.coalesce("from_ocr_layer", F.lit(False)), F.col("page"), (box[0] + box[2]) / 2 > F.col("page_width") * 0.6, box[1], box[0]).alias("spot"),
     )
     pdf = blocks.where("source_kind = 'pdf'")
     key = F.concat_ws("/", "document_id", "block_id")
@@ -88,10 +93,12 @@ def records(page_blocks: DataFrame, blocks: DataFrame) -> DataFrame:
     b = pdf.where("text is not null").select(
         F.lit("block").alias("place"), key.alias("record_id"), "document_id", page.alias("page"), "text",
         (F.col("type") != "native_code").alias("prose"), band(F.col("evidence")[0]["bbox"], F.lit(HEIGHT)).alias("band"),
+        spot(F.col("block_order").isNotNull(), F.lit(False), F.col("block_order"), zero, zero, zero).alias("spot"),
     )
     c = pdf.where("enrichment.raw_text is not null").select(
         F.lit("enrichment").alias("place"), key.alias("record_id"), "document_id", page.alias("page"), F.col("enrichment.raw_text").alias("text"),
         F.col("enrichment.raw_text").rlike(r"(?:[\p{L}@|0-9-]{2,}[ \n]){6}").alias("prose"), F.lit(None).cast("int").alias("band"),
+        spot(F.lit(False), F.lit(False), zero, zero, zero, zero).alias("spot"),
     )
     return a.unionByName(b).unionByName(c).where(F.col("text").rlike(r"\S"))
 
@@ -450,6 +457,79 @@ def defects(page_blocks: DataFrame, blocks: DataFrame) -> DataFrame:
     return furniture.withColumn("defect", F.lit("furniture")).unionByName(words)
 
 
+# ---- paragraphs over several records ----------------------------------------------------------------------------
+
+
+_CUT = re.compile(rf"[^\W_@|]*([^\W_]|[@|])[{MARKS}]\s*$")
+
+
+def goes_on(a: str, b: str, next_page: bool) -> bool:
+    """Whether record ``b`` goes on with ``a``'s last word or, from the top of the ``next_page``, with its last sentence."""
+    a, b = a.rstrip(), b.lstrip()
+    if not a or not b:
+        return False
+    cut = _CUT.search(a)
+    if cut:
+        return (b[0].isalnum() or b[0] in "@|") and (not b[0].isupper() or cut[1].isupper())
+    return next_page and not re.search(r"[.!?:;。！？][\"')\]»”’]*$", a) and b[0].islower()
+
+
+_CARRIED = "place string, record_id string, document_id string, page int, text string, prose boolean, band int"
+_COLS = [f.split(" ")[0] for f in _CARRIED.split(", ")]
+
+
+def _carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold over records sorted by document and place on the pages; only the record still open is held."""
+    open_, parts, key, page = None, [], None, None
+
+    def frame(rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=_COLS)
+        for c in ("page", "band"):
+            out[c] = pd.array([None if x is None or x != x else int(x) for x in out[c]], "Int32")
+        return out
+
+    def closed() -> tuple:
+        return (*open_[:4], "\n".join(parts), *open_[5:])
+
+    for pdf in batches:
+        done: list[tuple] = []
+        for *row, layer in pdf[[*_COLS, "layer"]].itertuples(index=False, name=None):
+            now = (row[2], row[0], layer)
+            if open_ is not None and now == key and goes_on(parts[-1], row[4], row[3] == page + 1):
+                parts[-1] = parts[-1].rstrip()
+                parts.append(row[4].lstrip())
+            else:
+                if open_ is not None:
+                    done.append(closed())
+                open_, parts, key = row, [row[4]], now
+            page = row[3]
+        yield frame(done)
+    if open_ is not None:
+        yield frame([closed()])
+
+
+def continued(recs: DataFrame, furniture: DataFrame, page_blocks: DataFrame) -> DataFrame:
+    """``recs`` without ``spot``, each body record of prose that a column, page or box cuts joined with those that go on with it, under the first one's id.
+
+    Furniture, code and visuals in between don't part them; an OCR layer is read by itself. The order is that of the pages
+    and boxes, left column first where a page has two. Repeated rows count once.
+    """
+    body = F.col("prose") & F.col("spot").isNotNull() & F.coalesce(F.col("band") == 0, F.lit(True)) & F.col("document_id").isNotNull()
+    flagged = lookup_join(recs.withColumn("body", body), furniture.where("place <> 'enrichment'").select("place", "record_id").distinct().withColumn("gone", F.lit(True)), ["place", "record_id"], "left", spread=["document_id"])
+    flagged = flagged.withColumn("body", F.col("body") & F.col("gone").isNull())
+    two = page_columns(page_blocks).where("columns = 2").select(F.lit("page_block").alias("place"), "document_id", "page", F.lit(1.0).alias("two"))
+    told = lookup_join(flagged.where("body"), two, ["place", "document_id", "page"], "left", spread=["record_id"])
+    column = F.coalesce(F.col("spot.k1") * F.col("two"), F.lit(0.0))
+    rows = told.select(*_COLS, "spot.layer", F.col("spot.k0").alias("k0"), column.alias("k1"), F.col("spot.k2").alias("k2"), F.col("spot.k3").alias("k3")).distinct()
+    keys = ["document_id", "place", "layer"]
+    # ids are numbers in page blocks, and of one length in blocks
+    carried = rows.repartition(*keys).sortWithinPartitions(*keys, "k0", "k1", "k2", "k3", F.length("record_id"), "record_id").mapInPandas(_carry, _CARRIED)
+    return carried.unionByName(flagged.where("not body").select(*_COLS))
+
+
+# ---- repair -----------------------------------------------------------------------------------------------------
+
+
 def repair_text(text: str, prose: bool, furniture: list[str], broken: list[tuple[str, str, str]], fixes: dict[str, str]) -> str:
     """One record as continuous paragraphs: furniture gone, broken words joined, misread ones corrected, lines of a paragraph joined."""
     lines = text.split("\n")
@@ -476,10 +556,11 @@ def repair_text(text: str, prose: bool, furniture: list[str], broken: list[tuple
 
 
 def repaired(page_blocks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(place, record_id, text): every PDF text repaired; records that are furniture are left out."""
+    """(place, record_id, text): every PDF text repaired; records that are furniture, or that went on with an earlier one and stand there, are left out."""
     recs = records(page_blocks, blocks)
     furniture = materialize(furniture_lines(recs), "furniture")
     vocab = materialize(vocabulary(recs), "vocabulary")
+    recs = materialize(continued(recs, furniture, page_blocks), "continued")
     notes = (
         furniture.select("place", "record_id", F.lit("line").alias("kind"), F.col("line").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"))
         .unionByName(broken_words(recs, vocab).select("place", "record_id", F.lit("break").alias("kind"), F.col("left").alias("a"), F.col("mark").alias("b"), F.col("right").alias("c")))

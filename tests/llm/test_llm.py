@@ -298,6 +298,22 @@ def test_deletion_keys():
     assert len(scan_repair.deletion_keys("x" * 20_000)) == 2
 
 
+def test_words_broken_at_the_end_of_a_record(spark, blocks_of):
+    page = lambda i, doc, n, x, y, text, ocr=False, code=False: {"id": i, "doc": doc, "page": n, "bbox": [x, y, x + 200.0, y + 20.0], "text": text, "ocr": ocr, "code": code}
+    filler = [page(900 + i, f"f{i}", 1, 72.0, 300.0, "The extractor reads the registry and then the scheduler waits.") for i in range(40)]
+    rows = [
+        page(1, "d", 1, 72.0, 700.0, "It starts the extrac-"), page(2, "d", 1, 72.0, 730.0, "x = 1", code=True), page(3, "d", 2, 72.0, 300.0, "tor and the sche-"), page(4, "d", 2, 72.0, 330.0, "duler waits\nfor"),
+        page(5, "d", 3, 72.0, 300.0, "the registry."), page(6, "d", 1, 72.0, 710.0, "Its own layer.", ocr=True), page(7, "d", 3, 72.0, 330.0, "Another one"), page(8, "d", 3, 72.0, 360.0, "the registry"),
+        *[page(20 + i, "c", 1, x, y, t) for i, (x, y, t) in enumerate([(50.0, 300.0, "Left reads the regis-"), (350.0, 300.0, "try and the extrac-"), (350.0, 330.0, "tor again."), (50.0, 280.0, "Top of the left.")])],
+    ]
+    blocks = [{"document_id": "b", "order": 5 - i, "block_id": f"b{i}", "text": t, "page": 1, "y0": 300.0} for i, t in enumerate(["duler ends.", "The sche-"])]
+    got = {(r.place, r.record_id): r.text for r in scan_repair.repaired(clash(pbs(spark, rows + filler)), blocks_of(blocks)).collect() if not r.record_id.startswith("9")}
+    assert got == {
+        ("page_block", "1"): "It starts the extractor and the scheduler waits for the registry.", ("page_block", "2"): "x = 1", ("page_block", "6"): "Its own layer.", ("page_block", "7"): "Another one", ("page_block", "8"): "the registry",
+        ("page_block", "20"): "Left reads the registry and the extractor again.", ("page_block", "23"): "Top of the left.", ("block", "b/b1"): "The scheduler ends.",
+    }
+
+
 def test_repair_text():
     t = "Page 3\nThe conncc-\ntor reads\nthe Journa1.\n\nNext part."
     assert scan_repair.repair_text(t, True, ["Page 3"], [("conncc", "-", "tor")], {"conncctor": "connector", "journa1": "journal"}) == "The connector reads the Journal.\n\nNext part."
