@@ -289,6 +289,13 @@ def postings(spark, d):
     return search.postings(docs).where(F.col("token").rlike(r"^[a-z0-9_\-]+$")).withColumnRenamed("document_id", "doc_id")
 
 
+@query()
+def postings_all(spark, d):
+    """The whole index, of all documents and tokens; ``postings`` is the part of it that its SQL has."""
+    docs = table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("full_text"))
+    return search.postings(docs).withColumnRenamed("document_id", "doc_id")
+
+
 # ---- pages ------------------------------------------------------------------------------------------------------
 
 

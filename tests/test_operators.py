@@ -248,6 +248,15 @@ def test_search(spark):
     assert search.search(c, "  ").count() == 0 and search.search(c, "cat", limit=1).count() == 1
 
 
+def test_postings_of_all_documents_and_tokens(spark, tmp_path):
+    from quirewright.plans import core_queries
+
+    rows = [(1, "Cat cat-dog 日本", "en"), (2, "日本語 日本語 テスト、猫 a", None), (3, "été — x", "it"), (4, None, "en"), (5, " \u3000", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.token): r.tf for r in core_queries.QUERIES["postings_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "cat"): 1, (1, "cat-dog"): 1, (1, "日本"): 1, (2, "日本語"): 2, (2, "テスト、猫"): 1, (2, "a"): 1, (3, "t"): 1, (3, "—"): 1, (3, "x"): 1}
+
+
 def test_review(spark, blocks_of):
     from datetime import datetime as D
 
