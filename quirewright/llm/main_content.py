@@ -44,6 +44,10 @@ _NAME = re.compile(r"@?(?:[A-ZÀ-Þ][\w'-]+)(?: [A-ZÀ-Þ][\w'-]+){1,2}$")
 PRIOR = {"in:nav": -4.0, "in:aside": -4.0, "in:footer": -4.0, "in:header": -3.0, "in:main": 3.0, "in:article": 3.0, "links>2": -1.0, "prose": 2.0, "bias": 0.5}
 
 
+#: A feature's name, or its name and its value where that isn't 1.
+Feature = str | tuple[str, float]
+
+
 def container(selector: str | None, drop: int = 1) -> str:
     """The selector without its last elements and without positions."""
     parts = _NTH.sub("", selector or "").split(" > ")
@@ -58,8 +62,8 @@ def _selector_features(selector: str | None, drop: int) -> list[str]:
     return out
 
 
-def block_features(kind: str | None, text: str | None, selector: str | None, links: str | None, tags: bool = True) -> list[str]:
-    """Words and tags of a block. Long lines count by their form as a whole, short ones by all their words too."""
+def block_features(kind: str | None, text: str | None, selector: str | None, links: str | None, tags: bool = True) -> list[Feature]:
+    """Words and tags of a block. All words count; those of a long line after its first four share the value of four, so that its length doesn't decide."""
     f = ["bias", f"type:{kind}"]
     if tags:
         f += _selector_features(selector, 1)
@@ -82,12 +86,10 @@ def block_features(kind: str | None, text: str | None, selector: str | None, lin
         m = re.match(r"@?(?:[A-ZÀ-Þ][\w'-]+ ){2}(?:wrote:|[A-ZÀ-Þ])", line)
         if m and i == 0:
             f.append("opens with a name" + ("@" if line[0] == "@" else ""))
-        seen = set()
-        for w in words if not long else words[:4]:
-            t = w.lower() if w[0].isalpha() else "#" if w[0].isdigit() else w
-            if t not in seen:
-                seen.add(t)
-                f.append("w:" + t)
+        own = list(dict.fromkeys(w.lower() if w[0].isalpha() else "#" if w[0].isdigit() else w for w in words))
+        first = len(dict.fromkeys(w.lower() if w[0].isalpha() else "#" if w[0].isdigit() else w for w in words[:4])) if long else len(own)
+        f += ["w:" + t for t in own[:first]]
+        f += [("w:" + t, min(1.0, 4 / (len(own) - first))) for t in own[first:]]
         for k in range(min(3, len(words))):
             a = words[k]
             f.append(f"{k}:" + (a.lower() if a[0].isalpha() else "#" if a[0].isdigit() else a))
@@ -119,33 +121,38 @@ def image_features(row: dict) -> list[str]:
     return f
 
 
+def _valued(x: Feature) -> tuple[str, float]:
+    return (x, 1.0) if isinstance(x, str) else x
+
+
 class Weights(dict):
     """Feature -> weight; unseen features weigh nothing."""
 
-    def score(self, features: list[str]) -> float:
-        return float(sum(self.get(x, 0.0) for x in features))
+    def score(self, features: list[Feature]) -> float:
+        return float(sum(self.get(x, 0.0) * v for x, v in map(_valued, features)))
 
 
-def fit(samples: list[tuple[list[str], bool]], rounds: int = 250, least: int = 3) -> Weights:
-    """Logistic regression with Adagrad over binary features seen ``least`` times; the built-in weights if a class is missing."""
+def fit(samples: list[tuple[list[Feature], bool]], rounds: int = 250, least: int = 3) -> Weights:
+    """Logistic regression with Adagrad over features seen ``least`` times; the built-in weights if a class is missing."""
     labels = np.array([y for _, y in samples], float)
     if len(samples) < 20 or labels.min() == labels.max():
         return Weights(PRIOR)
-    count = Counter(x for f, _ in samples for x in set(f))
+    count = Counter(x for f, _ in samples for x in {_valued(x)[0] for x in f})
     ids = {x: i for i, x in enumerate(sorted(k for k, n in count.items() if n >= least))}
-    rows, cols = [], []
+    rows, cols, vals = [], [], []
     for i, (f, _) in enumerate(samples):
-        for x in f:
+        for x, v in map(_valued, f):
             if x in ids:
                 rows.append(i)
                 cols.append(ids[x])
-    r, c = np.array(rows), np.array(cols)
+                vals.append(v)
+    r, c, v = np.array(rows), np.array(cols), np.array(vals)
     w, g2 = np.zeros(len(ids)), np.full(len(ids), 1e-6)
     weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
     for _ in range(rounds):
-        z = np.bincount(r, w[c], len(labels))
+        z = np.bincount(r, w[c] * v, len(labels))
         d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        grad = np.bincount(c, d[r], len(ids)) + 2e-5 * w
+        grad = np.bincount(c, d[r] * v, len(ids)) + 2e-5 * w
         g2 += grad**2
         w -= 0.3 * grad / np.sqrt(g2)
     return Weights({x: float(w[i]) for x, i in ids.items() if abs(w[i]) > 1e-3})

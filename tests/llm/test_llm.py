@@ -221,6 +221,15 @@ def test_regions_against_brute_force(spark, segment):
             assert r.gain == pytest.approx(gain) and sum(values[r.first : r["last"] + 1]) == pytest.approx(gain)
 
 
+def test_all_words_of_long_lines_count():
+    line = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    w = main_content.Weights({"w:cookies": -5.0})
+    for text in (line + " cookies.", line + " cookies " + line + ".", "Short cookies"):
+        assert w.score(main_content.block_features("paragraph", text, "", None)) < 0
+    samples = [(main_content.block_features("paragraph", line + (" cookies." if i % 2 else " caches."), "", None), i % 2 == 0) for i in range(40)]
+    assert main_content.fit(samples)["w:cookies"] < 0 < main_content.fit(samples)["w:caches"]
+
+
 def test_main_content_awkward(spark, blocks_of):
     b = blocks_of([web(1, None), web(2, ""), web(3, LONG), {"document_id": None, "source_kind": "url", "text": "x"}, {"source_kind": "html", "type": None, "block_id": None}, {"source_kind": "pdf", "text": "x"}])
     none = images(spark, [{"doc": None}, {"doc": "d1", "selector": None, "classes": [None, " "]}])
