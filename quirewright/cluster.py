@@ -16,9 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if it has at most so many rows and its parquet at most so many bytes.
+#: A table is broadcast only if it has at most so many rows and takes at most so many bytes in memory, decoded.
 BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 #: Copies of each row of the smaller side in a salted join; a key that holds a third of all rows is read by so many tasks.
 SALTS = 16
 #: A table of at most so many bytes may be redistributed for parallelism.
@@ -83,9 +83,29 @@ def scan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _width(df: DataFrame, column: str) -> Column:
+    """Bytes of a column's values in a row held in memory: those of strings and binaries counted, arrays by their elements, eight for the rest."""
+    kind = dict(df.dtypes)[column]
+    c = F.col(f"`{column}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if kind in ("array<string>", "array<binary>"):
+        return F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 8), F.lit(0)) + 16
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
+
+
 def fits_broadcast(scan: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether a materialized table is provably small enough to be broadcast."""
-    return scan_bytes(scan) <= size and scan.count() <= rows
+    """Whether a materialized table is provably small enough to be broadcast: by its rows and their width in memory.
+
+    The size of its files proves nothing, for numbers that repeat are compressed a hundredfold; it only rules tables out early.
+    """
+    if scan_bytes(scan) > size:
+        return False
+    width = sum((_width(scan, c) for c in scan.columns), F.lit(16))
+    n, held = scan.agg(F.count(F.lit(1)), F.sum(width.cast("long"))).first()
+    return n <= rows and (held or 0) <= size
 
 
 def lookup_join(
@@ -95,20 +115,22 @@ def lookup_join(
     how: str = "inner",
     spread: Sequence[str] | None = None,
     materialized: bool = False,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``left`` to ``right``, the smaller side with few rows per key (one, mostly), whatever the skew of ``left``.
 
-    ``right`` is broadcast if its written size allows it. Otherwise every row of ``right`` is
-    repeated ``SALTS`` times and the rows of ``left`` are spread over the repeats by a hash of
-    ``spread`` (all other columns of simple type if not given), so a hot key is shared by many tasks.
+    ``right`` is broadcast if its size in memory allows it. Otherwise every row of ``right`` is
+    repeated ``salts`` times and the rows of ``left`` are spread over the repeats by a hash of
+    ``spread`` (all other columns of simple type if not given), so a hot key is shared by many tasks. That join is
+    told to merge: Catalyst knows the repeated table by the size of its files only and would broadcast it.
     """
     table = right if materialized else materialize(right, "lookup")
     if fits_broadcast(table):
         return left.join(F.broadcast(table), list(on), how)
     cols = spread or [c for c, t in left.dtypes if not t.startswith(("array", "map", "struct"))]
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int"))
-    table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(table, [*on, "__salt"], how).drop("__salt")
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+    table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(table.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
@@ -141,7 +163,7 @@ def dense_rank_in_groups(df: DataFrame, key: str, order: Sequence[str], rank: st
     starts = counts.select(key, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     numbered = dealt.withColumn("__i", F.row_number().over(W.partitionBy(key, "__b").orderBy(*order)) - 1)
     return (
-        numbered.join(starts, [key, "__b"])
+        numbered.join(starts.hint("merge"), [key, "__b"])
         .withColumn(rank, F.col("__start") + F.col("__i"))
         .drop("__b", "__i", "__start", "__n")
     )

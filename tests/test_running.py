@@ -154,6 +154,20 @@ def test_lookup_join_with_a_hot_key(spark, monkeypatch):
     assert cluster.lookup_join(left, right, ["k"], "left").count() == 3000
 
 
+def test_a_table_that_compresses_well_is_not_broadcast(spark):
+    ids = spark.range(900_000).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"))
+    big = cluster.materialize(ids.select("k", F.floor(F.col("v") / 1000).alias("v")))
+    assert cluster.scan_bytes(big) < 8 << 20 and not cluster.fits_broadcast(big)
+    left = spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = cluster.lookup_join(left, big, ["k"], how, materialized=True)
+        joined.count()
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    wide = cluster.materialize(spark.range(2000).select("id", F.repeat(F.lit("x"), 50_000).alias("t"), F.array(F.lit("y"), F.lit(None)).alias("a"), F.struct("id").alias("s")))
+    assert cluster.scan_bytes(wide) < 8 << 20 and not cluster.fits_broadcast(wide)
+    assert cluster.fits_broadcast(cluster.materialize(spark.range(0).toDF("id")))
+
+
 def test_ranks_without_whole_groups(spark):
     df = cluster.materialize(spark.range(1000).select("id", (F.col("id") % 3).alias("k")))
     r = cluster.dense_rank_in_groups(df, "k", ["id"], "rank", rows_each=37)
