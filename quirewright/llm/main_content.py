@@ -1,21 +1,23 @@
 """Page boilerplate mixed with main content (problem 4).
 
-Method: maximum-scoring subsequence. A page is a sequence of blocks, each worth the sum of the weights of
-its words and tags (container, element, type, links, form of its lines); the weights are the log-odds of a
-logistic regression over labelled pages, so words of an article score positive and those of navigation,
-notices, sharing and the like negative. A linear scan finds the contiguous region of greatest sum; what lies
-outside it, and what inside it scores clearly negative (an advertisement between two paragraphs), is not the article's own.
-
-Labelled pages come from the data: pages whose markup names its parts. There the container that holds most of the
-prose is the body and the others are not; containers that hold everything on other pages tell nothing
-and their blocks are unlabelled. At most ``TRAIN_PAGES`` pages are read for training.
-
-Scale: blocks are scored in a map; only (document, order, score) is shuffled. The scan is a running sum less its
-running minimum, computed in segments of ``SEGMENT`` consecutive blocks and then over the segments' sums, so a document with
+Method: maximum-scoring subsequence. A page is a sequence of blocks and images, each worth the sum of the weights of
+its words and tags (container, element, type, links, classes, form of its lines); the weights are the log-odds of a
+logistic regression, so words of an article score positive and navigation, notices, sharing and the like negative. A
+linear scan finds the contiguous region of greatest sum. One region would keep the advertisements between two paragraphs, so an
+item worth less than ``SPLIT`` ends a region, and the scan finds the best region of every stretch between two such items: several
+disjoint regions. A region counts if it is worth ``LEAST_GAIN``. What lies in no region isn't the article's own; no item is judged by itself.
+
+Labels are made, not given: on pages whose markup names its parts, the container that holds most of the
+prose is taken for the body and the others not; containers that hold everything on other pages tell nothing
+and their items are unlabelled. Training reads at most ``TRAIN_PAGES`` pages, ``TRAIN_BLOCKS`` blocks and ``TRAIN_IMAGES`` images.
+
+Scale: items are scored in a map; only (document, place, score) is shuffled. The scan is a running sum less its
+running minimum, computed in segments of ``SEGMENT`` places and then over the segments' sums, so a document with
 a third of all rows is many groups.
 
-Cases: NULL text scores by its tags; documents with one block are judged by that block; repeated rows count once;
-images are judged by their own model over selector, classes, alt, size and source. With no labelled pages built-in tag weights are used.
+Cases: NULL text scores by its tags; documents with one item are judged by it; repeated rows count once; blocks without an
+order stand, by a hash of their id, before the others; an image stands amid the blocks of its container or, without
+any, at the number its selector tells, else first. With no labelled pages built-in tag weights are used.
 """
 
 from __future__ import annotations
@@ -26,17 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirewright.cluster import hash_sample, lookup_join, materialize
+from quirewright.cluster import hash_sample, key_join, materialize
 
 WEB = ("url", "html")
-#: Pages read for training, blocks of a segment of the scan, and bounds on one block's part of the sum.
-TRAIN_PAGES, SEGMENT, CLIP = 2000, 512, 6.0
-#: Inside the region a block is the article's unless it scores below; outside it is not unless it scores above.
-INSIDE, OUTSIDE = -2.0, 1.5
+#: Bounds on what training reads.
+TRAIN_PAGES, TRAIN_BLOCKS, TRAIN_IMAGES = 2000, 60_000, 20_000
+#: Places in a segment of the scan, and the bound on one item's part of the sum.
+SEGMENT, CLIP = 512, 6.0
+#: An item worth less ends a region; a region worth less is none.
+SPLIT, LEAST_GAIN = -2.0, 1.5
 _NTH = re.compile(r":nth-(?:of-type|child)\(\d+\)")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _NAME = re.compile(r"@?(?:[A-ZÀ-Þ][\w'-]+)(?: [A-ZÀ-Þ][\w'-]+){1,2}$")
@@ -44,6 +48,8 @@ _NAME = re.compile(r"@?(?:[A-ZÀ-Þ][\w'-]+)(?: [A-ZÀ-Þ][\w'-]+){1,2}$")
 PRIOR = {"in:nav": -4.0, "in:aside": -4.0, "in:footer": -4.0, "in:header": -3.0, "in:main": 3.0, "in:article": 3.0, "links>2": -1.0, "prose": 2.0, "bias": 0.5}
 
 
+#: Columns that tell of an image.
+IMAGE_COLUMNS = ("selector", "classes", "alt", "width", "height", "data_src", "current_src", "src")
 #: A feature's name, or its name and its value where that isn't 1.
 Feature = str | tuple[str, float]
 
@@ -179,9 +185,11 @@ def body_containers(pages: dict[str, list[tuple[str, str]]]) -> tuple[set[str],
 
 
 def _sample(web: DataFrame, pages: int) -> list:
+    """At most ``TRAIN_BLOCKS`` blocks of at most ``pages`` pages, both chosen by hash."""
     ids = hash_sample(materialize(web.select("document_id").where("document_id is not null").distinct(), "pages"), ["document_id"], pages)
-    cols = web.select("document_id", "type", "text", F.col("evidence")[0]["selector"].alias("selector"), "extra").where("document_id is not null")
-    return sorted(cols.join(F.broadcast(ids), "document_id").distinct().collect(), key=str)
+    cols = web.select("document_id", "block_id", "type", "text", F.col("evidence")[0]["selector"].alias("selector"), "extra").where("document_id is not null")
+    own = materialize(cols.join(F.broadcast(ids), "document_id").distinct(), "page-blocks")
+    return sorted(hash_sample(own, ["document_id", "block_id", "text"], TRAIN_BLOCKS).drop("block_id").distinct().collect(), key=str)
 
 
 def train(blocks: DataFrame, images: DataFrame | None = None, pages: int = TRAIN_PAGES) -> tuple[Weights, Weights]:
@@ -204,7 +212,8 @@ def train(blocks: DataFrame, images: DataFrame | None = None, pages: int = TRAIN
     if images is None:
         return weights, Weights(PRIOR)
     ids = blocks.sparkSession.createDataFrame([(d,) for d in sorted(named)], "document_id string")
-    pics = sorted(images.join(F.broadcast(ids), "document_id").distinct().collect(), key=str)
+    shown = materialize(images.select("document_id", "image_id", *IMAGE_COLUMNS).join(F.broadcast(ids), "document_id").distinct(), "page-images")
+    pics = sorted(hash_sample(shown, ["document_id", "image_id"], TRAIN_IMAGES).collect(), key=str)
     labelled = []
     for p in pics:
         c = container(p.selector, 2)
@@ -213,8 +222,14 @@ def train(blocks: DataFrame, images: DataFrame | None = None, pages: int = TRAIN
     return weights, fit(labelled)
 
 
+def _container(selector: Column, drop: int) -> Column:
+    """Hash of :func:`container` of a column of selectors."""
+    parts = F.split(F.regexp_replace(F.coalesce(selector, F.lit("")), _NTH.pattern, ""), " > ")
+    return F.xxhash64(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - drop, F.lit(0))), " > "))
+
+
 def score_blocks(blocks: DataFrame, weights: Weights) -> DataFrame:
-    """(document_id, block_order, block_id, score) of every block of a web document."""
+    """(document_id, item_id, image, place, inside, score) of every block of a web document; ``inside`` is a hash of its container."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -223,66 +238,93 @@ def score_blocks(blocks: DataFrame, weights: Weights) -> DataFrame:
 
     web = blocks.where(F.col("source_kind").isin(*WEB) & F.col("document_id").isNotNull() & F.col("block_id").isNotNull())
     selector = F.col("evidence")[0]["selector"]
-    return web.select("document_id", F.coalesce("block_order", F.lit(0)).alias("block_order"), "block_id", score("type", "text", selector, "extra").alias("score"))
+    unordered = F.lit(-1) - F.pmod(F.xxhash64("block_id"), F.lit(1 << 20))
+    return web.select(
+        "document_id", F.col("block_id").alias("item_id"), F.lit(False).alias("image"), F.coalesce("block_order", unordered).cast("double").alias("place"),
+        _container(selector, 1).alias("inside"), score("type", "text", selector, "extra").alias("score"),
+    )
 
 
-def regions(scored: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(document_id, first, last): block orders of the contiguous region of greatest sum of each document.
+def score_images(images: DataFrame, scored: DataFrame, weights: Weights) -> DataFrame:
+    """(document_id, item_id, image, place, score) of every image, placed amid the ``scored`` blocks of its container."""
 
-    ``last`` maximizes the running sum less the least running sum before it; ``first`` follows that
-    least sum. Documents are cut into segments of consecutive orders; a second scan runs over the segments' sums only.
-    """
-    part = scored.select("document_id", "block_order", "block_id", F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), "score")).alias("v"), F.floor(F.col("block_order") / segment).alias("seg"))
-    inside = W.partitionBy("document_id", "seg").orderBy("block_order", "block_id")
-    run = part.withColumn("cum", F.sum("v").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    run = run.withColumn("low", F.min(F.struct((F.col("cum") - F.col("v")).alias("p"), "block_order")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    best = F.struct((F.col("cum") - F.col("low.p")).alias("gain"), (-F.col("block_order")).alias("neg"), F.col("low.block_order").alias("first"), F.col("block_order").alias("last"))
-    sums = run.groupBy("document_id", "seg").agg(
-        F.sum("v").alias("total"), F.max(best).alias("own"), F.max(F.struct("cum", (-F.col("block_order")).alias("neg"), F.col("block_order").alias("last"))).alias("head"),
-        F.min(F.struct((F.col("cum") - F.col("v")).alias("p"), F.col("block_order").alias("first"))).alias("dip"),
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for pdf in batches:
+            yield pd.Series([weights.score(image_features(r)) for r in pdf.to_dict("records")], dtype="float64")
+
+    shown = images.where("image_id is not null").select(
+        "document_id", F.col("image_id").alias("item_id"), F.lit(True).alias("image"), _container(F.col("selector"), 2).alias("inside"),
+        F.nullif(F.regexp_extract("selector", r".*:nth-(?:of-type|child)\((\d+)\) > [^>]+$", 1), F.lit("")).cast("double").alias("told"), score(F.struct(*IMAGE_COLUMNS)).alias("score"),
     )
-    over = W.partitionBy("document_id").orderBy("seg")
-    sums = sums.withColumn("base", F.coalesce(F.sum("total").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    sums = sums.withColumn("before", F.min(F.struct((F.col("base") + F.col("dip.p")).alias("p"), F.col("dip.first").alias("first"))).over(over.rowsBetween(W.unboundedPreceding, -1)))
-    across = F.when(
-        F.col("before").isNotNull(),
-        F.struct((F.col("base") + F.col("head.cum") - F.col("before.p")).alias("gain"), F.col("head.neg").alias("neg"), F.col("before.first").alias("first"), F.col("head.last").alias("last")),
+    spans = scored.groupBy("document_id", "inside").agg(((F.min("place") + F.max("place")) / 2).alias("middle"))
+    return key_join(shown, spans, ["document_id", "inside"], "left").select(
+        "document_id", "item_id", "image", (F.coalesce("middle", "told", F.lit(-1.0)) + 0.5).alias("place"), "score"
     )
-    return sums.groupBy("document_id").agg(F.max(F.greatest("own", across)).alias("r")).select("document_id", "r.first", "r.last", "r.gain")
 
 
-def judged_blocks(blocks: DataFrame, weights: Weights) -> DataFrame:
-    """(document_id, block_order, block_id, score, own): whether each block belongs to its article's own body."""
-    scored = materialize(score_blocks(blocks, weights).distinct(), "scored")
-    joined = lookup_join(scored, regions(scored), ["document_id"], spread=["block_id"])
-    within = F.col("block_order").between(F.col("first"), F.col("last")) & (F.col("gain") > 0)
-    own = F.when(within, F.col("score") >= INSIDE).otherwise(F.col("score") >= OUTSIDE)
-    return joined.select("document_id", "block_order", "block_id", "score", within.alias("within"), own.alias("own"))
+def in_regions(scored: DataFrame, segment: int = SEGMENT, split: float = SPLIT, least: float = LEAST_GAIN) -> DataFrame:
+    """``scored`` (document_id, item_id, place, score, ...) with ``own``: whether the item lies in a region of its document.
 
+    Items worth less than ``split`` part the document into stretches; in each, the region ends where the running sum less
+    the least running sum before it is greatest, and begins after that least sum. Documents are cut into segments of ``segment`` places; a
+    second scan runs over the segments' sums only.
+    """
+    cut = F.col("score") < split
+    order = ["place", "image", "item_id"]
+    base = scored.withColumn("seg", F.floor(F.col("place") / segment)).withColumn("v", F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), "score")))
+    upto = W.partitionBy("document_id", "seg").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    base = base.withColumn("part", F.sum(F.when(cut, 1).otherwise(0)).over(upto))
+    # a part's rows follow each other, so its running sums continue in the order of the segment
+    inside = W.partitionBy("document_id", "seg", "part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    at = F.struct(*order)
+    run = base.withColumn("v", F.when(cut, 0.0).otherwise(F.col("v"))).withColumn("at", at).withColumn("cum", F.sum("v").over(inside))
+    run = run.withColumn("low", F.min(F.when(~cut, F.struct((F.col("cum") - F.col("v")).alias("p"), "at"))).over(inside))
+    kept = run.where(~cut)
+    sums = kept.groupBy("document_id", "seg", "part").agg(
+        F.sum("v").alias("total"),
+        F.max_by(F.struct((F.col("cum") - F.col("low.p")).alias("gain"), F.col("low.at").alias("first"), F.col("at").alias("last")), F.struct(F.col("cum") - F.col("low.p"), -F.col("place"))).alias("own"),
+        F.max_by(F.struct("cum", F.col("at").alias("last")), F.struct("cum", -F.col("place"))).alias("head"),
+        F.min(F.struct((F.col("cum") - F.col("v")).alias("p"), F.col("at").alias("first"))).alias("dip"),
+    )
+    # separators alone in their part leave no row, so a stretch is told by the parts' numbers
+    cuts = base.groupBy("document_id", "seg").agg(F.max("part").alias("cuts"))
+    number = W.partitionBy("document_id").orderBy("seg").rowsBetween(W.unboundedPreceding, -1)
+    cuts = cuts.withColumn("before_seg", F.coalesce(F.sum("cuts").over(number), F.lit(0)))
+    sums = sums.join(cuts.hint("merge"), ["document_id", "seg"]).withColumn("stretch", F.col("before_seg") + F.col("part"))
+    over = W.partitionBy("document_id", "stretch").orderBy("seg")
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    sums = sums.withColumn("before", F.min(F.struct((F.col("base") + F.col("dip.p")).alias("p"), F.col("dip.first").alias("first"))).over(before))
+    across = F.when(
+        F.col("before").isNotNull(),
+        F.struct((F.col("base") + F.col("head.cum") - F.col("before.p")).alias("gain"), F.col("before.first").alias("first"), F.col("head.last").alias("last")),
+    )
+    best = sums.withColumn("r", F.when(across["gain"] > F.col("own.gain"), across).otherwise(F.col("own")))
+    whole = W.partitionBy("document_id", "stretch")
+    best = best.withColumn("r", F.max_by("r", F.struct(F.col("r.gain"), -F.col("r.last.place"))).over(whole)).select("document_id", "seg", "part", "r")
+    found = run.join(best.hint("merge"), ["document_id", "seg", "part"], "left")
+    own = ~cut & (F.col("r.gain") >= least) & (F.col("at") >= F.col("r.first")) & (F.col("at") <= F.col("r.last"))
+    return found.select(*scored.columns, F.coalesce(own, F.lit(False)).alias("own"))
 
-def judged_images(images: DataFrame, weights: Weights) -> DataFrame:
-    """(document_id, image_id, score, own) of every image."""
-    cols = ["selector", "classes", "alt", "width", "height", "data_src", "current_src", "src"]
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for pdf in batches:
-            yield pd.Series([weights.score(image_features(r)) for r in pdf.to_dict("records")], dtype="float64")
 
-    scored = images.where("image_id is not null").select("document_id", "image_id", score(F.struct(*cols)).alias("score"))
-    return scored.withColumn("own", F.col("score") >= 0)
+def judged(blocks: DataFrame, images: DataFrame | None = None, weights: tuple[Weights, Weights] | None = None) -> DataFrame:
+    """(document_id, item_id, image, place, score, own): whether each block and image belongs to its article's own body."""
+    block_weights, image_weights = weights or train(blocks, images)
+    cols = ["document_id", "item_id", "image", "place", "score"]
+    scored = materialize(score_blocks(blocks, block_weights).distinct(), "scored")
+    items = scored.select(*cols)
+    if images is not None:
+        items = materialize(items.unionByName(score_images(images, scored, image_weights).select(*cols).distinct()), "items")
+    return in_regions(items)
 
 
 def boilerplate(blocks: DataFrame, images: DataFrame) -> DataFrame:
     """(document_id, item_id): blocks and images of web documents that aren't part of the article's own body."""
-    block_weights, image_weights = train(blocks, images)
-    a = judged_blocks(blocks, block_weights).where(~F.col("own")).select("document_id", F.col("block_id").alias("item_id"))
-    b = judged_images(images, image_weights).where(~F.col("own")).select("document_id", F.col("image_id").alias("item_id"))
-    return a.unionByName(b).distinct()
+    return judged(blocks, images).where(~F.col("own")).select("document_id", "item_id").distinct()
 
 
-def main_blocks(blocks: DataFrame, weights: Weights | None = None) -> DataFrame:
+def main_blocks(blocks: DataFrame, images: DataFrame | None = None, weights: tuple[Weights, Weights] | None = None) -> DataFrame:
     """The rows of ``blocks`` that are their web article's own body, all columns kept."""
-    w = weights or train(blocks)[0]
-    own = judged_blocks(blocks, w).where("own").select("document_id", "block_id").distinct()
-    return lookup_join(blocks.where(F.col("source_kind").isin(*WEB)), own, ["document_id", "block_id"], "left_semi")
+    own = judged(blocks, images, weights).where("own and not image").select("document_id", F.col("item_id").alias("block_id")).distinct()
+    return key_join(blocks.where(F.col("source_kind").isin(*WEB)), own, ["document_id", "block_id"], "left_semi")

@@ -44,7 +44,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_main(spark: SparkSession, d: str) -> DataFrame:
-    kept = main_content.main_blocks(table(spark, d, "blocks", spread=True))
+    kept = main_content.main_blocks(table(spark, d, "blocks", spread=True), table(spark, d, "dom_images"))
     return kept.select("document_id", "block_order", "block_id", "type", "text").distinct()
 
 

@@ -212,13 +212,21 @@ def brute_region(values):
 @pytest.mark.parametrize("segment", [3, 512])
 def test_regions_against_brute_force(spark, segment):
     rng = random.Random(9)
-    pages = {f"d{k}": [rng.choice([-3.0, -1.0, 0.5, 2.0]) for _ in range(rng.randint(1, 14))] for k in range(60)}
-    df = spark.createDataFrame([(d, i, f"b{i:02d}", v) for d, vs in pages.items() for i, v in enumerate(vs)], "document_id string, block_order int, block_id string, score double")
-    for r in main_content.regions(df, segment).collect():
-        values = pages[r.document_id]
-        gain, _ = brute_region(values)
-        if gain > 0:
-            assert r.gain == pytest.approx(gain) and sum(values[r.first : r["last"] + 1]) == pytest.approx(gain)
+    pages = {f"d{k}": [rng.choice([-3.0, -1.0, -1.5, 0.5, 2.0]) for _ in range(rng.randint(1, 24))] for k in range(80)}
+    df = spark.createDataFrame([(d, f"b{i:02d}", False, float(i), v) for d, vs in pages.items() for i, v in enumerate(vs)], "document_id string, item_id string, image boolean, place double, score double")
+    own = collections.defaultdict(set)
+    for r in main_content.in_regions(df, segment).where("own").collect():
+        own[r.document_id].add(int(r.place))
+    for d, values in pages.items():
+        start = 0
+        for end in [*(i for i, v in enumerate(values) if v < main_content.SPLIT), len(values)]:
+            part, mine = values[start:end], sorted(i for i in own[d] if start <= i < end)
+            gain, _ = brute_region(part)
+            assert bool(mine) == (gain >= main_content.LEAST_GAIN)
+            if mine:  # one contiguous region of the greatest sum
+                assert mine == list(range(mine[0], mine[-1] + 1)) and sum(values[i] for i in mine) == pytest.approx(gain)
+            assert end not in own[d]
+            start = end + 1
 
 
 def test_all_words_of_long_lines_count():
@@ -236,6 +244,8 @@ def test_main_content_awkward(spark, blocks_of):
     assert main_content.boilerplate(clash(b), clash(none)).count() >= 0
     assert main_content.boilerplate(b.limit(0), none.limit(0)).count() == 0
     assert main_content.main_blocks(b.limit(0)).count() == 0
+    unordered = b.where("document_id = 'd3'").withColumn("block_order", F.lit(None).cast("int"))
+    assert main_content.judged(unordered, weights=(main_content.Weights({"bias": 2.0}), main_content.Weights())).first().own
 
 
 # ---- problem 5 --------------------------------------------------------------------------------------------------
