@@ -133,6 +133,15 @@ def lookup_join(
     return salted.join(table.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
+def key_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables that both grow with the data, ``right`` with about one row per key: shuffled and merged at every size.
+
+    Neither side is written or counted before. A key that many rows of ``left`` share (copies of one record) makes one large
+    partition, which adaptive execution splits, as it may for each kind of join that keeps rows of ``left``.
+    """
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def hash_sample(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     """The ``rows`` rows with the smallest hash of ``keys``, the same in every run; all of a smaller table.
 
