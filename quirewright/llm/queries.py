@@ -61,8 +61,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_share(spark: SparkSession, d: str) -> DataFrame:
-    recs = self_repetition.records(table(spark, d, "blocks", spread=True), table(spark, d, "vlm_results"))
-    return self_repetition.repetition(recs, self_repetition.train(recs)).distinct()
+    return self_repetition.shares(self_repetition.records(table(spark, d, "blocks", spread=True), table(spark, d, "vlm_results"))).distinct()
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +108,8 @@ def _look_sql(c: str) -> str:
 _MONTH = "(?:" + "|".join(sorted(repeated_lines.MONTHS, key=len, reverse=True)) + r")"
 _DE = r"(?:(?:de|of|del)\s+)?"
 
+_BLANK = r"[\s\pZ\x0b\x1c-\x1f\x{85}]"
+
 SQL: dict[str, str] = {
     "p1_found": rf"""
 with hosts as (
@@ -155,5 +156,18 @@ g as (select id, i, row_number() over (partition by id, w[i], w[i + 1], w[i + 2]
 c as (select distinct id, i + unnest([0, 1, 2]) as i from g where nth > 1),
 s as (select c.id, sum(length(u.w[c.i])) as covered from c join u using (id) group by 1)
 select distinct u.place, u.document_id, u.block_id from u join s using (id) where s.covered >= 0.4 * list_sum(list_transform(u.w, lambda x: length(x)))
+""",
+    "p6_share": rf"""
+with t as (select distinct 'raw_text' as place, document_id, block_id, enrichment.raw_text as t from blocks where enrichment.raw_text is not null
+  union select distinct 'visible_text', document_id, block_id, array_to_string(list_transform(visible_text, lambda x: coalesce(x, '')), chr(10)) from vlm_results where visible_text is not null),
+w as (select *, list_filter(string_split_regex(t, '{_BLANK}+'), lambda x: x <> '') as w from t),
+m as (select *, len(w) > 0 and (list_max(list_transform(w, lambda x: length(x))) > 200 or list_sum(list_transform(w, lambda x: length(x))) / len(w) > 25) as chars from w),
+u as (select row_number() over () as id, place, document_id, block_id, case when chars then regexp_extract_all(array_to_string(w, ''), '(?s).') else w end as u, case when chars then 12 else 3 end as n from m),
+v as (select * replace (case when len(u) <= n then 1 else n end as n) from u),
+i as (select id, u, n, unnest(range(1, len(u) - n + 2)) as i from v),
+g as (select id, i, n, row_number() over (partition by id, array_to_string(u[i:i + n - 1], chr(31)) order by i) as nth from i),
+c as (select distinct id, i + unnest(range(0, n)) as i from g where nth > 1),
+s as (select c.id, sum(length(v.u[c.i])) as covered from c join v using (id) group by 1)
+select distinct place, document_id, block_id, coalesce(covered::double / list_sum(list_transform(u, lambda x: length(x)))::double, 0.0) as share from v left join s using (id)
 """,
 }

@@ -1,20 +1,20 @@
 """Repetition inside a single document (problem 6).
 
 Method: logistic regression on hashed word and character n-grams, trained on labelled quality rows,
-calibrated, scored in Arrow batches against a fixed threshold. The hashed features are an n-gram's
+calibrated, scored in Arrow batches against the fixed threshold ``THRESHOLD``. The hashed features are an n-gram's
 kind together with its occurrence number in the record (first, second, third or fourth, later) and its
 hash, weighted by characters; so the model sees how much of a record is n-grams met before, and whether
 certain phrases (boiled-over templates) tell more. Labels come from the exact measure over a sample of at
-most ``train_rows`` records. The probability is given beside the share and decides nothing: the exact share is measured
-for every record, and it alone tells which are repetitive.
+most ``train_rows`` records. The calibrated probability decides which records are repetitive; for those an exact check of the share follows.
 
-The exact share: characters of words that lie in a word trigram (or, in text without spaces, a character 12-gram)
+The share itself is measured exactly for every record: characters of words that lie in a word trigram (or, in text without spaces, a character 12-gram)
 that stood in the record before, all occurrences beyond the first counted, of all non-space characters.
 
 Scale: a map over records in Arrow batches, no shuffle of text; training is bounded. A record is measured in
 time proportional to its length.
 
-Cases: NULL, empty and blank texts have share 0; with no labelled rows, or one class only, every probability is 1.
+Cases: NULL, empty and blank texts have share 0 and probability 0; with no labelled rows, or one class only, every other probability is 1, so the
+exact check alone decides.
 """
 
 from __future__ import annotations
@@ -31,9 +31,14 @@ from quirewright.cluster import hash_sample
 
 #: Hashed dimensions, and bound on labelled rows.
 DIMENSIONS = 1 << 12
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 4000
 MIN_SHARE = 0.4
+#: A record is repetitive from this probability on.
+THRESHOLD = 0.5
 _GRAM, _CHARS = 3, 12
+#: Characters in a character n-gram of the features, and the odd multiplier of their hash.
+_SPAN, _ODD = 24, 0x9E3779B97F4A7C15
+_POWERS = [pow(_ODD, k, 1 << 64) for k in range(_SPAN)]
 
 
 def _units(text: str) -> tuple[list[str], int]:
@@ -73,6 +78,14 @@ def repeated_share(text: str | None) -> float:
     return covered / total
 
 
+def _slot(kind: str, k: int) -> int:
+    """Feature of an n-gram's kind and occurrence number."""
+    return crc32(f"{kind}{min(k, 4)}".encode()) % 64
+
+
+_CHAR_SLOTS = np.array([_slot("c", k) for k in range(5)])
+
+
 def features(text: str) -> dict[int, float]:
     """Hashed n-gram features of a record, normalized by its length; a record of no more units than an n-gram has counts by its units, as in the exact share."""
     units, n = _units(text)
@@ -80,24 +93,35 @@ def features(text: str) -> dict[int, float]:
     out: dict[int, float] = {}
     if not units:
         return out
-    total = sum(map(len, units)) or 1
-    for kind, size, joined in (("w", n, units), ("c", 24, None)):
-        count: dict = {}
-        if joined is None:
-            grams = (text[i : i + size] for i in range(0, max(1, len(text) - size + 1), 4))
-            weight = 4 / max(4, len(text))
-        else:
-            grams = (" ".join(joined[i : i + size]) for i in range(max(1, len(joined) - size + 1)))
-            weight = None
-        for i, g in enumerate(grams):
-            k = count[g] = count.get(g, 0) + 1
-            w = weight if weight is not None else len(units[i]) / total
-            if k > 1:
-                h = crc32(g.encode("utf-8", "ignore"))
-                a = crc32(f"{kind}{min(k, 4) if k < 4 else 4}".encode()) % 64
-                out[a] = out.get(a, 0.0) + w
-                b = 64 + h % (DIMENSIONS - 64)
-                out[b] = out.get(b, 0.0) + w * 0.1
+    total = sum(map(len, units))
+    count: dict = {}
+    for i in range(len(units) - n + 1):
+        g = tuple(units[i : i + n])
+        k = count[g] = count.get(g, 0) + 1
+        if k > 1:
+            w = len(units[i]) / total
+            a = _slot("w", k)
+            out[a] = out.get(a, 0.0) + w
+            b = 64 + crc32(" ".join(g).encode("utf-8", "ignore")) % (DIMENSIONS - 64)
+            out[b] = out.get(b, 0.0) + w * 0.1
+    if len(text) <= _SPAN:
+        return out
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    m = len(code) - _SPAN + 1
+    h = np.zeros(m, np.uint64)
+    for j, p in enumerate(_POWERS):
+        h += code[j : j + m] * np.uint64(p)
+    order = np.argsort(h, kind="stable")
+    first = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    at = np.arange(m)
+    nth = at - np.maximum.accumulate(np.where(first, at, 0)) + 1
+    again = nth > 1
+    slots = np.bincount(_CHAR_SLOTS[np.minimum(nth[again], 4)], minlength=64) / m
+    for k in np.flatnonzero(slots):
+        out[int(k)] = out.get(int(k), 0.0) + float(slots[k])
+    own, times = np.unique(64 + (h[order][again] >> np.uint64(32)) % np.uint64(DIMENSIONS - 64), return_counts=True)
+    for k, c in zip(own.tolist(), times.tolist()):
+        out[k] = out.get(k, 0.0) + 0.1 * c / m
     return out
 
 
@@ -167,18 +191,31 @@ def repetition(recs: DataFrame, model: Quality) -> DataFrame:
     @F.pandas_udf("probability double, share double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame({"probability": [model.probability(t) if t else 0.0 for t in s], "share": [repeated_share(t) for t in s]}, dtype="float64")
+            yield pd.DataFrame({"probability": [model.probability(t) if t and t.strip() else 0.0 for t in s], "share": [repeated_share(t) for t in s]}, dtype="float64")
 
     scored = recs.withColumn("__s", score("text"))
     return scored.select("place", "document_id", "block_id", "__s.probability", "__s.share")
 
 
-def repetitive(blocks: DataFrame, vlm_results: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """(place, document_id, block_id) of records of which at least ``min_share`` repeats what stood in them before."""
+def shares(recs: DataFrame) -> DataFrame:
+    """(place, document_id, block_id, share): the exact share of every record."""
 
     @F.pandas_udf("double")
     def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([repeated_share(t) for t in s], dtype="float64")
 
-    return records(blocks, vlm_results).where(share("text") >= min_share).select("place", "document_id", "block_id").distinct()
+    return recs.select("place", "document_id", "block_id", share("text").alias("share"))
+
+
+def repetitive(blocks: DataFrame, vlm_results: DataFrame, min_share: float = MIN_SHARE, threshold: float = THRESHOLD) -> DataFrame:
+    """(place, document_id, block_id) of records that the model takes for repetitive, and of which at least ``min_share`` repeats what stood in them before."""
+    recs = records(blocks, vlm_results)
+    model = train(recs, min_share)
+
+    @F.pandas_udf("boolean")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([bool(t and t.strip()) and model.probability(t) >= threshold and repeated_share(t) >= min_share for t in s], dtype=bool)
+
+    return recs.where(found("text")).select("place", "document_id", "block_id").distinct()
