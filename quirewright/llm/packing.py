@@ -1,14 +1,17 @@
 """Filling fixed-capacity containers with documents (problem 8).
 
 Method: the configuration linear program over the length histogram. Its variables are patterns
-(multisets of lengths that fit a container); it is solved approximately by multiplicative weights, with
-a knapsack dynamic program pricing the best pattern at each step; the solution is rounded down and what
-is left over, a number of items bounded by patterns and not by data, is packed best-fit decreasing.
+(multisets of lengths that fit a container), its constraints the number of items of each length. It is solved by multiplicative
+weights: a length's price starts at its size, the dual of the space bound, and falls exponentially with the share of its items covered; a
+bounded knapsack dynamic program prices the best pattern over a bundle of lengths drawn at random, so that the patterns of one round are
+disjoint; a pattern is used until its scarcest length is covered to ``STEP``, and rounds go on until every length is. The solution is rounded
+down and the program solved again on what is left, until less than ``LEAST`` of the containers, or no full pattern, remains;
+that rest is packed best-fit decreasing.
 
 Only an item larger than a container is split, into full containers and a rest.
 
-Scale: the driver sees the histogram, at most ``capacity`` numbers whatever the data; the plan it makes is bounded by
-the patterns. Documents are numbered within their length by bucketed counts (no task sorts a whole length), and
+Scale: the driver sees the histogram, at most ``capacity`` numbers whatever the data; patterns and rounds are bounded by
+the capacity as well. Documents are numbered within their length by bucketed counts (no task sorts a whole length), and
 each finds its container by binary search in the plan.
 
 Cases: NULL and blank texts have size 0 and lie, at no cost, in the containers in turn; a table without
@@ -24,76 +27,90 @@ from pyspark.sql import functions as F
 from quirewright.cluster import dense_rank_in_groups, materialize
 from quirewright.llm.tokens import DEFAULT, token_count
 
-ROUNDS = 200
-#: A token in a long item is worth up to so much more than in a short one, so that short items stay to fill gaps.
-LONG_FIRST = 0.3
-#: How fast the weight of a length falls as it is covered ahead of the others.
-LAG = 20.0
+#: Lengths priced together, share of its scarcest length's items that a pattern may cover at a time, times the program is solved, share of the containers left to best fit.
+BUNDLE, STEP, PHASES, LEAST = 64, 0.5, 16, 0.01
+#: A token in a long item is at first worth up to so much more than in a short one, so that short items stay to fill gaps.
+LONG_FIRST = 1.0
+#: How fast the price of a length falls as its items are covered.
+LAG = 2.0
+#: Unused share of a container that a rounded pattern may have, more with each phase.
+SLACK = 0.0005
 
 
 def knapsack(value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern of greatest value: length -> count, lengths 1..capacity with positive value, sizes summing to capacity at most."""
-    lengths = np.flatnonzero(value > 0)
-    if not len(lengths):
-        return {}
+    """The pattern of greatest value: length -> count, at most ``most`` of a length, sizes summing to capacity at most.
+
+    Counts are put together from powers of two, so the bound holds in the program itself.
+    """
+    items = []
+    for n in np.flatnonzero((value > 0) & (most > 0))[::-1].tolist():
+        k, size = min(int(most[n]), capacity // n), 1
+        while k > 0:
+            m = min(size, k)
+            items.append((n, m))
+            k -= m
+            size *= 2
     best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int64)
-    v = value[lengths]
-    for c in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        gain = best[c - lengths[:k]] + v[:k]
-        j = int(gain.argmax())
-        if gain[j] > best[c - 1]:
-            best[c], choice[c] = gain[j], lengths[j]
-        else:
-            best[c] = best[c - 1]
+    taken = np.zeros((len(items), capacity + 1), bool)
+    for i, (n, m) in enumerate(items):
+        gain = best[: capacity + 1 - n * m] + value[n] * m
+        better = gain > best[n * m :] + 1e-9
+        taken[i, n * m :] = better
+        best[n * m :] = np.where(better, gain, best[n * m :])
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c] == 0:
-            c -= 1
-            continue
-        n = int(choice[c])
-        if out.get(n, 0) < most[n]:
-            out[n] = out.get(n, 0) + 1
-        c -= n
+    room = capacity
+    for i in range(len(items) - 1, -1, -1):
+        if taken[i, room]:
+            n, m = items[i]
+            out[n] = out.get(n, 0) + m
+            room -= n * m
     return out
 
 
-def configurations(histogram: np.ndarray, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(pattern, containers) that hold every item of a histogram (index = length, 0 unused)."""
+def relaxed(need: np.ndarray, rng: np.random.Generator, bundle: int = BUNDLE) -> dict[tuple, float]:
+    """Pattern -> containers: a solution of the linear program that covers every item of the histogram ``need``, by multiplicative weights."""
+    capacity = len(need) - 1
+    size = np.arange(capacity + 1)
+    price = size * (1 + LONG_FIRST * size / capacity)
+    covered = np.zeros(capacity + 1)
+    uses: dict[tuple, float] = {}
+    while True:
+        open_ = np.flatnonzero((need > 0) & (covered < 1))
+        if not len(open_):
+            return uses
+        rng.shuffle(open_)
+        for group in np.array_split(open_, max(1, len(open_) // bundle)):
+            value = np.zeros(capacity + 1)
+            value[group] = price[group] * np.exp(-LAG * covered[group])
+            pattern = knapsack(value, need, capacity)
+            key = tuple(sorted(pattern.items()))
+            x = max(1.0, STEP * min(need[n] / k for n, k in key))
+            uses[key] = uses.get(key, 0.0) + x
+            for n, k in key:
+                covered[n] += k * x / need[n]
+
+
+def configurations(histogram: np.ndarray, bundle: int = BUNDLE, seed: int = 1) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(pattern, containers) that hold every item of a histogram (index = length, 0 unused), and how many of these entries, the first ones, are the program's."""
     capacity = len(histogram) - 1
-    need = histogram.astype(float)
-    need[0] = 0
     left = histogram.astype(np.int64).copy()
     left[0] = 0
+    size = np.arange(capacity + 1)
+    rng = np.random.default_rng(seed)
     plan: list[tuple[dict[int, int], int]] = []
-    demand = need > 0
-    if demand.sum() > 1:
-        # multiplicative weights: a length covered less than its share so far weighs more
-        covered = np.zeros(capacity + 1)
-        uses: dict[tuple, float] = {}
-        size = np.arange(capacity + 1)
-        worth = size * (1 + LONG_FIRST * size / capacity)
-        step = max(1.0, float((need * size).sum()) / capacity / rounds)
-        for _ in range(rounds):
-            lag = np.where(demand, covered / np.maximum(need, 1), np.inf)
-            weight = np.where(demand, worth * np.exp(-LAG * np.clip(lag - lag[demand].min(), 0, 1)), 0)
-            pattern = knapsack(weight, left, capacity)
-            if not pattern:
-                break
-            key = tuple(sorted(pattern.items()))
-            times = min([step, *(need[n] / k for n, k in key)])
-            uses[key] = uses.get(key, 0.0) + times
-            for n, k in key:
-                covered[n] += k * times
-        for key, x in sorted(uses.items(), key=lambda t: (-t[1], t[0])):
-            m = int(min([x, *(left[n] / k for n, k in key)]))
-            if m > 0:
+    total = float((left * size).sum()) / capacity
+    for phase in range(1, PHASES + 1):
+        if float((left * size).sum()) / capacity < max(1.0, LEAST * total):
+            break
+        solution = relaxed(left.copy(), rng, bundle)
+        filled = {key: sum(n * k for n, k in key) for key in solution}
+        for key in sorted(solution, key=lambda t: (-filled[t], -solution[t], t)):
+            m = int(min([solution[key], *(left[n] // k for n, k in key)]))
+            if m > 0 and filled[key] >= capacity * (1 - SLACK * phase):
                 plan.append((dict(key), m))
                 for n, k in key:
                     left[n] -= k * m
-    return plan + best_fit(left)
+    return plan + best_fit(left), len(plan)
 
 
 def best_fit(left: np.ndarray) -> list[tuple[dict[int, int], int]]:
@@ -147,14 +164,18 @@ def items_of(documents: DataFrame, capacity: int, path: str = DEFAULT) -> DataFr
     return sizes.select("doc_id", F.posexplode(pieces).alias("piece", "n_tokens"))
 
 
-def pack(documents: DataFrame, capacity: int, path: str = DEFAULT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, piece, n_tokens, container, slot, offset): where each document, or piece of an oversized one, lies."""
+def pack(documents: DataFrame, capacity: int, path: str = DEFAULT) -> DataFrame:
+    """(doc_id, piece, n_tokens, container, slot, offset, planned): where each document, or piece of an oversized one, lies.
+
+    ``planned`` tells whether the linear program made the container, or best fit of the rest.
+    """
     items = materialize(items_of(documents, capacity, path), "items")
     histogram = np.zeros(capacity + 1, np.int64)
     for n, c in items.groupBy("n_tokens").count().collect():  # at most capacity + 1 rows
         histogram[n] = c
-    plan = configurations(histogram, rounds)
+    plan, programmed = configurations(histogram)
     containers = max(1, sum(m for _, m in plan))
+    by_program = sum(m for _, m in plan[:programmed])
     where = _ranges(plan)
 
     def place(batches):
@@ -169,16 +190,16 @@ def pack(documents: DataFrame, capacity: int, path: str = DEFAULT, rounds: int =
                 box[mine] = base[i] + at // k[i]
                 slot[mine] = first[i] + at % k[i]
                 offset[mine] = off[i] + at % k[i] * length
-            yield pdf.drop(columns="rank").assign(container=box, slot=slot, offset=offset)
+            yield pdf.drop(columns="rank").assign(container=box, slot=slot, offset=offset, planned=box < by_program)
 
     ranked = dense_rank_in_groups(items, "n_tokens", ["doc_id", "piece"], "rank").select("doc_id", "piece", "n_tokens", "rank")
-    return ranked.mapInPandas(place, "doc_id long, piece int, n_tokens int, container long, slot long, offset long")
+    return ranked.mapInPandas(place, "doc_id long, piece int, n_tokens int, container long, slot long, offset long, planned boolean")
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, items, tokens and the share of unused space."""
-    by = packed.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("items"))
+    """One row: containers, those by the linear program, items, tokens, the fullest container, the least that could do and the share of unused space."""
+    by = packed.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("items"), F.max(F.col("planned").cast("int")).alias("planned"))
     return by.agg(
-        F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"),
-        (1 - F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("unused_share"),
+        F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("planned"), F.lit(0)).alias("planned_containers"), F.sum("items").alias("items"), F.sum("used").alias("tokens"),
+        F.max("used").alias("fullest"), F.ceil(F.sum("used") / capacity).alias("least_containers"), (1 - F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("unused_share"),
     )

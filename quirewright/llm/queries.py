@@ -69,6 +69,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents", spread=True), capacity)
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, and how many of them the linear program made."""
+    capacity, _ = limit_of(table(spark, d, "token_limits"), "pack")
+    return packing.fill_report(packing.pack(table(spark, d, "documents", spread=True), capacity), capacity)
+
+
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:
     return mixing.copies(table(spark, d, "documents", spread=True), table(spark, d, "mix_targets"))
 
@@ -88,7 +94,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_classes, p4_found, p4_main, p5_found, p5_text, p6_found, p6_share, p8_containers, p9_copies, p9_shares, p10_found, p10_pieces)
+    for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_classes, p4_found, p4_main, p5_found, p5_text, p6_found, p6_share, p8_containers, p8_fill, p9_copies, p9_shares, p10_found, p10_pieces)
 }
 
 
