@@ -114,6 +114,19 @@ def _look_sql(c: str) -> str:
 _MONTH = "(?:" + "|".join(sorted(repeated_lines.MONTHS, key=len, reverse=True)) + r")"
 _DE = r"(?:(?:de|of|del)\s+)?"
 
+_P3 = r"""
+with recursive r as (select distinct pb_id, text, regexp_replace(lower(text), '[^\pL\pN]', '', 'g') as k from page_blocks where text is not null and pb_id is not null),
+p as (select *, list_filter(string_split_regex(text, '[;|\n]'), lambda x: regexp_matches(x, '[\pL\pN]')) as parts from r where length(k) >= 40),
+f as (select pb_id, k, case when len(parts) >= 2 and len(list_filter(parts, lambda x: not regexp_matches(x, '(?s)^\s*\pL[\pL\pN _.-]{0,40}?\s*[:=]'))) = 0 then
+  array_to_string(list_sort(list_transform(parts, lambda x: regexp_replace(lower(regexp_extract(x, '(?s)^\s*(\pL[\pL\pN _.-]{0,40}?)\s*[:=]\s*(.*)$', 1)), '[^\pL\pN]', '', 'g') || chr(1) || regexp_replace(lower(regexp_extract(x, '(?s)^\s*(\pL[\pL\pN _.-]{0,40}?)\s*[:=]\s*(.*)$', 2)), '[^\pL\pN]', '', 'g'))), chr(2)) end as fields from p),
+l as (select distinct k, fields from f where fields is not null),
+e as (select distinct x.k, y.k as other from l x join l y using (fields)),
+w as (select k, k as other from e union select w.k, e.other from w join e on w.other = e.k),
+t as (select k, min(other) as class from w group by 1),
+m as (select pb_id, coalesce(class, f.k) as class from (select distinct pb_id, k from f) f left join t using (k)),
+c as (select pb_id, min(pb_id) over (partition by class) as first_pb_id from m)
+"""
+
 _BLANK = r"[\s\pZ\x0b\x1c-\x1f\x{85}]"
 
 SQL: dict[str, str] = {
@@ -143,15 +156,10 @@ a as (select document_id, block_id, t, {_look_sql('t')} as look from v),
 g as (select sample_id, gold_verbatim as t, {_look_sql('gold_verbatim')} as look from golden where gold_verbatim is not null)
 select distinct document_id, block_id, sample_id from a join g on a.look = g.look and a.t <> g.t
 """,
-    "p3_found": r"""
-with r as (select distinct pb_id, text, regexp_replace(lower(text), '[^\pL\pN]', '', 'g') as k from page_blocks where text is not null and pb_id is not null),
-p as (select *, list_filter(string_split_regex(text, '[;|\n]'), lambda x: regexp_matches(x, '[\pL\pN]')) as parts from r where length(k) >= 40),
-f as (select pb_id, k, case when len(parts) >= 2 and len(list_filter(parts, lambda x: not regexp_matches(x, '(?s)^\s*\pL[\pL\pN _.-]{0,40}?\s*[:=]'))) = 0 then
-  array_to_string(list_sort(list_transform(parts, lambda x: regexp_replace(lower(regexp_extract(x, '(?s)^\s*(\pL[\pL\pN _.-]{0,40}?)\s*[:=]\s*(.*)$', 1)), '[^\pL\pN]', '', 'g') || chr(1) || regexp_replace(lower(regexp_extract(x, '(?s)^\s*(\pL[\pL\pN _.-]{0,40}?)\s*[:=]\s*(.*)$', 2)), '[^\pL\pN]', '', 'g'))), chr(2)) end as fields from p),
-m as (select pb_id, coalesce(min(fields) over (partition by k), k) as class from f),
-c as (select pb_id, min(pb_id) over (partition by class) as first_pb_id from m)
-select first_pb_id, pb_id as copy_pb_id from c where pb_id <> first_pb_id
-""",
+    "p3_found": _P3 + "select first_pb_id, pb_id as copy_pb_id from c where pb_id <> first_pb_id",
+    "p3_classes": _P3
+    + """select first_pb_id as pb_id, count(*) as copies from c group by 1
+union all select pb_id, 1 from (select distinct pb_id from page_blocks where pb_id is not null) where pb_id not in (select pb_id from c)""",
     "p6_found": r"""
 with t as (select distinct 'raw_text' as place, document_id, block_id, enrichment.raw_text as t from blocks where enrichment.raw_text is not null
   union select distinct 'visible_text', document_id, block_id, array_to_string(list_transform(visible_text, lambda x: coalesce(x, '')), chr(10)) from vlm_results where visible_text is not null),

@@ -3,12 +3,14 @@
 Method: progressive partition refinement. The first pass gives every record two cheap invariants that
 no formatting difference changes: the number of its letters and digits and a hash of their histogram.
 Only classes with several members go on to the costlier keys: the text's letters and digits in
-order, and, where the text is a list of named fields, the sorted fields. Records are one class if
-either key agrees: a class of equal texts takes the field key of any of its members.
+order, and, where the text is a list of named fields, the sorted fields. Records are linked if either key
+agrees, and a class is a connected component of these links.
 
-Scale: both passes scan the table; what is shuffled is two numbers per record in the first, and the
-second reads keys of multi-member classes only (a broadcast or salted semi-join). A class that holds a
-third of all rows is reduced by partial aggregates and looked up through a salted join.
+Scale: both passes scan the table; what is shuffled is numbers, two a record in the first pass, and in the second
+the 128-bit keys of members of several-member classes. Those are looked up where they are few enough to be broadcast; beyond that the keys are
+computed in the scan and joined as numbers, with the same result, so no text is ever shuffled. Components are found over distinct keys: only
+texts whose field keys differ, or fields whose texts differ, go through rounds of least labels with doubling, each round written to the
+shared folder. A class that holds a third of all rows is reduced by partial aggregates and looked up through a salted join.
 
 Cases: NULL, empty and short texts (fewer than ``min_chars`` letters and digits) form no class and are
 returned by ``record_classes`` as their own; a record delivered twice counts once; ties go to the smallest id.
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirewright.cluster import lookup_join, materialize
+from quirewright.cluster import fits_broadcast, lookup_join, materialize
 
 MIN_CHARS = 40
 
@@ -96,22 +98,56 @@ def _wide(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.reverse(key), F.lit(7)).alias("b"))
 
 
+def _costly(keyed: DataFrame) -> DataFrame:
+    """(id, n, histogram, a, b, fa, fb) of records: 128-bit keys of the text and, for a list, of its fields."""
+    c = keyed.select("id", "n", "histogram", _wide(letters_digits(F.col("text"))).alias("t"), field_key(F.col("text")).alias("fields"))
+    f = F.when(F.col("fields").isNotNull(), _wide(F.col("fields")))
+    return c.select("id", "n", "histogram", "t.a", "t.b", f["a"].alias("fa"), f["b"].alias("fb"))
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    """(a, b, root): for each text key, the least id over all texts that it is linked to through equal field keys.
+
+    ``pairs`` (a, b, fa, fb, least) has one row per text key and field key, ``least`` being the least id with both. Labels go from texts to fields
+    and back until none changes; each round a text takes the label of its label's text too, so that long chains take few rounds.
+    """
+    texts, fields = ["a", "b"], ["fa", "fb"]
+    state = materialize(pairs.withColumn("root", F.col("least")), "labels")
+    while True:
+        by_text = state.groupBy(*texts).agg(F.min("root").alias("t_root"))
+        step = state.join(by_text.hint("merge"), texts)
+        by_field = step.groupBy(*fields).agg(F.min("t_root").alias("f_root"))
+        step = step.join(by_field.hint("merge"), fields).withColumn("next", F.least("t_root", "f_root"))
+        jump = step.groupBy(F.col("least").alias("next")).agg(F.min("next").alias("further"))
+        step = step.join(jump.hint("merge"), "next", "left").select(*texts, *fields, "least", "root", F.least("next", "further").alias("new"))
+        done = materialize(step, "labels")
+        if not done.where("new <> root").limit(1).count():
+            return done.groupBy(*texts).agg(F.min("new").alias("root"))
+        state = done.select(*texts, *fields, "least", F.col("new").alias("root"))
+
+
 def record_groups(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, first_id, copies): members of every class with several records; ``records`` has id and text."""
     keyed = cheap_keys(records).where(F.col("n") >= min_chars)
-    several = (
-        keyed.groupBy("n", "histogram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("n", "histogram")
+    several = materialize(
+        keyed.groupBy("n", "histogram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("n", "histogram"), "several"
     )
-    members = lookup_join(keyed, several, ["n", "histogram"], spread=["id"])
-    costly = members.select("id", "n", "histogram", _wide(letters_digits(F.col("text"))).alias("t"), field_key(F.col("text")).alias("fields"))
-    costly = costly.select("id", "n", "histogram", "t.a", "t.b", F.when(F.col("fields").isNotNull(), F.xxhash64("n", "fields")).alias("f"))
-    costly = materialize(costly, "keys")
-    by_text = materialize(costly.groupBy("n", "histogram", "a", "b").agg(F.min("f").alias("f"), F.min("id").alias("id")), "texts")
-    by_text = by_text.withColumn("k", F.coalesce("f", F.xxhash64("a", "b"))).withColumn("is_list", F.col("f").isNotNull())
-    ids = lookup_join(costly.select("id", "n", "histogram", "a", "b"), by_text.select("n", "histogram", "a", "b", "k", "is_list"), ["n", "histogram", "a", "b"], spread=["id"])
-    ids = materialize(ids.select("id", "n", "histogram", "k", "is_list").distinct(), "members")
-    classes = ids.groupBy("n", "histogram", "k", "is_list").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return lookup_join(ids, classes, ["n", "histogram", "k", "is_list"], spread=["id"]).select("id", "first_id", "copies")
+    if fits_broadcast(several):
+        costly = _costly(keyed.join(F.broadcast(several), ["n", "histogram"]))
+    else:
+        costly = lookup_join(_costly(keyed), several, ["n", "histogram"], spread=["id"], materialized=True)
+    costly = materialize(costly.select("id", "a", "b", "fa", "fb"), "keys")
+    by_text = costly.groupBy("a", "b").agg(F.min("id").alias("least"), F.min(F.struct("fa", "fb")).alias("lo"), F.max(F.struct("fa", "fb")).alias("hi"))
+    by_text = materialize(by_text, "texts")
+    # texts without fields are classes by themselves; the others, one row per text and field key, are linked
+    lists = costly.where("fa is not null").groupBy("a", "b", "fa", "fb").agg(F.min("id").alias("least"))
+    lists = lists.join(by_text.where("hi.fa is not null").select("a", "b", F.col("least").alias("first")).hint("merge"), ["a", "b"])
+    roots = linked(lists.select("a", "b", "fa", "fb", F.least("least", "first").alias("least")))
+    roots = by_text.select("a", "b", "least").join(roots.hint("merge"), ["a", "b"], "left").select("a", "b", F.coalesce("root", "least").alias("first_id"))
+    ids = lookup_join(costly.select("id", "a", "b"), roots, ["a", "b"], spread=["id"])
+    ids = materialize(ids.select("id", "first_id").distinct(), "members")
+    classes = ids.groupBy("first_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return lookup_join(ids, classes, ["first_id"], spread=["id"]).select("id", "first_id", "copies")
 
 
 def page_records(page_blocks: DataFrame) -> DataFrame:

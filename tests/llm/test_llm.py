@@ -168,6 +168,31 @@ def test_list_and_flat_text_are_one_class(spark):
     assert got == {(1, 2), (1, 3)}
 
 
+def test_records_linked_through_others(spark, monkeypatch):
+    """Equal but for the order of fields, or equal in letters with a mark moved: both link, and links go on over any number of records."""
+    rng = random.Random(6)
+    chains = []
+    for c in range(12):
+        v = [f"{rng.randint(10**6, 10**7)}x{c}" for _ in range(4)]
+        names = ["Alpha one", "Beta two", "Gamma three", "Delta four"]
+        split = lambda i, cut: f"{names[i].split()[0]}: {names[i].split()[1]} {v[i]}" if cut else f"{names[i]}: {v[i]}"
+        a = "; ".join(split(i, False) for i in range(4))
+        b = "; ".join(split(i, i == 0) for i in range(4))  # the letters of a
+        d = "; ".join(split(i, i == 0) for i in (2, 0, 3, 1))  # the fields of b
+        e = "; ".join(split(i, i in (0, 3)) for i in (2, 0, 3, 1))  # the letters of d
+        g = " | ".join(split(i, i in (0, 3)) for i in (3, 2, 1, 0))  # the fields of e
+        chains.append([a, b, d, e, g])
+    rows = [(x, c) for c, texts in enumerate(chains) for x in texts]
+    rng.shuffle(rows)
+    table = pbs(spark, [{"text": x, "id": i} for i, (x, _) in enumerate(rows)])
+    first = {}
+    want = {(first.setdefault(c, i), i) for i, (_, c) in enumerate(rows)}
+    got = {(r.first_pb_id, r.copy_pb_id) for r in record_copies.record_copies(table).collect()}
+    assert got == {x for x in want if x[0] != x[1]}
+    monkeypatch.setattr(record_copies, "fits_broadcast", lambda *a, **k: False)
+    assert {(r.first_pb_id, r.copy_pb_id) for r in record_copies.record_copies(table).collect()} == got
+
+
 # ---- problem 4 --------------------------------------------------------------------------------------------------
 
 NAV, BODY, FOOT = "nav > ul:nth-of-type(1)", "article > p:nth-of-type({})", "footer > p:nth-of-type(1)"
@@ -424,7 +449,7 @@ def test_configurations_hold_everything(seed):
     boxes, fit = sum(m for _, m in plan), sum(m for _, m in packing.best_fit(h))
     assert boxes <= fit * 1.002 + 1
     if boxes > 100:  # the linear program, and not the best-fit rest, makes the containers
-        assert sum(m for _, m in plan[:programmed]) >= 0.9 * boxes
+        assert sum(m for _, m in plan[:programmed]) >= (0.9 if boxes > 10_000 else 0.6) * boxes
 
 
 def test_pack(spark):
