@@ -1,27 +1,28 @@
 """Visually identical text with different characters (problem 2).
 
-Method: a weighted edit automaton walks a trie of vocabulary tokens. Characters that look alike and
-ignorable characters cost nothing, every other edit costs one; with ``max_cost`` 0 (the default) a
-token is matched exactly if some vocabulary token looks the same, and gets that token's canonical
-spelling. Tokens that match nothing are normalized by the same character table, so the result is the
-same form whether or not a token is in the vocabulary. ASCII tokens are canonical already.
+Method: a weighted edit automaton walks a trie of the vocabulary's own spellings. Taking a character for one that looks alike
+and passing over an ignorable one cost nothing, every other edit costs one; what costs more than ``max_cost`` is cut off. With
+``max_cost`` 0, which production uses because words that differ in any other way don't look the same, a token is matched if some vocabulary token looks the same. It
+then gets that token's canonical spelling: of the spellings that look the same the vocabulary's most frequent, not the table's. Tokens
+that match nothing are normalized by the character table. As tokens that look the same meet the same trie entries, or none, equal
+looks always get one form, and different ones different forms. ASCII tokens are looked up as well where the vocabulary has a
+spelling in another script that looks like ASCII.
 
 Canonical form: NFC; full-width, font and ligature variants resolved; ignorable characters dropped;
-every kind of space made U+0020 (tabs and line breaks stay); look-alike letters in the script of the
-rest of their word, Latin if the word has no letter that is only of another script. Superscripts,
-fractions, circled and vulgar forms look different and stay.
+every kind of space made U+0020 (tabs and line breaks stay); look-alike letters as the vocabulary spells the word, else in the script of the
+rest of their word, else Latin. Superscripts, fractions, circled and vulgar forms look different and stay.
 
-Scale: a map over the texts in Arrow batches. The vocabulary is taken from a reference table whose
-row count is checked (``MAX_VOCABULARY_ROWS``); beyond it the table alone is used, with equal results.
+Scale: a map over the texts in Arrow batches. The vocabulary is an aggregate over all rows of the reference table (a
+curated set: its distinct tokens with a character beyond ASCII are what is sent to the workers).
 Matching texts to samples is an equi-join on the canonical form.
 
-Cases: NULL stays NULL, empty stays empty; ties cannot arise, as all spellings of a token share one form.
+Cases: NULL stays NULL, empty stays empty; of equally frequent spellings the one with more ASCII, then the smallest, is canonical.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,9 +30,6 @@ from pyspark.sql import functions as F
 
 from quirewright.cluster import lookup_join
 
-#: The vocabulary is read from at most so many rows of the reference table.
-MAX_VOCABULARY_ROWS = 20_000
-
 # Letters of other scripts that look like a Latin letter, Latin first.
 CYRILLIC = {
     "a": "а", "c": "с", "e": "е", "h": "һ", "i": "і", "j": "ј", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "у",
@@ -106,59 +104,81 @@ def skeleton(token: str) -> str:
     return fold_word(unicodedata.normalize("NFD", token.translate(PLAIN)))
 
 
+def spelling(token: str) -> str:
+    """A token's own spelling in plain characters: composed forms, ligatures and widths resolved, ignorables gone, letters in their own script."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token.translate(PLAIN)))
+
+
 class Trie:
-    """Vocabulary trie over skeleton characters; a terminal holds the canonical spelling."""
+    """Trie of vocabulary spellings, in decomposed plain characters of their own script; a terminal holds spelling and count."""
 
-    __slots__ = ("root", "n")
+    __slots__ = ("root", "n", "foreign")
 
-    def __init__(self, tokens=()):
+    def __init__(self, tokens: Iterable[str | tuple[str, int]] = ()):
         self.root: dict = {}
         self.n = 0
+        #: Whether some spelling beyond ASCII looks like ASCII, so that ASCII tokens must be looked up.
+        self.foreign = False
         for t in tokens:
-            self.add(t)
+            self.add(*((t, 1) if isinstance(t, str) else t))
 
-    def add(self, token: str) -> None:
-        s = skeleton(token)
+    def add(self, token: str, count: int = 1) -> None:
+        """Add occurrences of a spelling."""
+        own = spelling(token)
+        plain = unicodedata.normalize("NFD", own)
         node = self.root
-        for c in s:
+        for c in plain:
             node = node.setdefault(c, {})
-        if "" not in node:
-            node[""] = unicodedata.normalize("NFC", s)
-            self.n += 1
+        self.n += "" not in node
+        node[""] = (own, node.get("", (own, 0))[1] + count)
+        self.foreign |= not own.isascii() and all(_TO_LATIN.get(c, c).isascii() for c in plain)
+
+    @staticmethod
+    def cost(c: str, d: str) -> int:
+        """Cost of taking one plain character for another: none for look-alikes."""
+        return int(_TO_LATIN.get(c, c) != _TO_LATIN.get(d, d))
 
     def match(self, token: str, max_cost: int = 0) -> tuple[str, int] | None:
-        """Canonical spelling and cost of the cheapest vocabulary token within ``max_cost`` edits; ties by spelling.
+        """Canonical spelling and cost of the cheapest vocabulary token within ``max_cost``; of equally cheap ones the most frequent, then the most ASCII, then the smallest.
 
-        Look-alikes and ignorables are free: they vanish in the skeleton that drives the automaton.
+        The automaton's states are (place in the token, node) with the least cost to reach them; each step passes a character
+        of the token (free if ignorable), of the vocabulary, or one of each.
         """
-        s = skeleton(token)
-        if max_cost == 0:
-            node = self.root
-            for c in s:
-                node = node.get(c)
-                if node is None:
-                    return None
-            return (node[""], 0) if "" in node else None
-        best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(s) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= max_cost and (best is None or (row[-1], node[""]) < best):
-                best = (row[-1], node[""])
-            for c, child in node.items():
-                if c == "":
-                    continue
-                new = [row[0] + 1]
-                for j, x in enumerate(s, 1):
-                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != c)))
-                if min(new) <= max_cost:
-                    stack.append((child, new))
-        return (best[1], best[0]) if best else None
+        chars = unicodedata.normalize("NFD", "".join(PLAIN[ord(c)] for c in token))
+        states: dict[int, tuple[dict, int]] = {id(self.root): (self.root, 0)}
+        for c in (*chars, ""):
+            if max_cost:  # characters of the vocabulary that the token lacks
+                queue = list(states.values())
+                while queue:
+                    node, k = queue.pop()
+                    if k < max_cost:
+                        for d, child in node.items():
+                            if d != "" and states.get(id(child), (child, max_cost + 1))[1] > k + 1:
+                                states[id(child)] = (child, k + 1)
+                                queue.append((child, k + 1))
+            if c == "":
+                break
+            after: dict[int, tuple[dict, int]] = {}
+            for node, k in states.values():
+                if k < max_cost and after.get(id(node), (node, max_cost + 1))[1] > k + 1:
+                    after[id(node)] = (node, k + 1)
+                for d, child in node.items():
+                    if d == "":
+                        continue
+                    new = k + self.cost(c, d)
+                    if new <= max_cost and after.get(id(child), (child, max_cost + 1))[1] > new:
+                        after[id(child)] = (child, new)
+            if not after:
+                return None
+            states = after
+        ends = [(k, -node[""][1], sum(not x.isascii() for x in node[""][0]), node[""][0]) for node, k in states.values() if "" in node]
+        return (min(ends)[3], min(ends)[0]) if ends else None
 
 
 def canonical_text(text: str, trie: Trie | None = None, cache: dict | None = None) -> str:
     """One text in canonical form."""
-    if text.isascii():
+    foreign = trie is not None and trie.foreign
+    if text.isascii() and not foreign:
         return text
     cache = {} if cache is None else cache
     out = []
@@ -167,7 +187,7 @@ def canonical_text(text: str, trie: Trie | None = None, cache: dict | None = Non
     for i in range(len(plain) + 1):
         if i == len(plain) or plain[i] in " \t\n\r":
             word = plain[start:i]
-            if word and not word.isascii():
+            if word and (foreign or not word.isascii()):
                 got = cache.get(word)
                 if got is None:
                     hit = trie.match(word) if trie else None
@@ -182,15 +202,27 @@ def canonical_text(text: str, trie: Trie | None = None, cache: dict | None = Non
     return "".join(out)
 
 
-def vocabulary(reference: DataFrame, column: str) -> list[str]:
-    """Distinct non-ASCII tokens of a reference column of at most ``MAX_VOCABULARY_ROWS`` rows, else none."""
-    rows = reference.select(column).where(F.col(column).isNotNull()).limit(MAX_VOCABULARY_ROWS + 1).collect()
-    if len(rows) > MAX_VOCABULARY_ROWS:
-        return []
-    return sorted({w for r in rows for w in r[0].translate(PLAIN).split() if not w.isascii()})
+def vocabulary(reference: DataFrame, column: str) -> list[tuple[str, int]]:
+    """(token, count): the distinct tokens beyond ASCII of all rows of a reference column, and the ASCII tokens that look like one of them."""
+
+    @F.pandas_udf("array<string>")
+    def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: [w for w in (spelling(x) for x in t.translate(PLAIN).split()) if w])
+
+    @F.pandas_udf("string")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: unicodedata.normalize("NFC", skeleton(t)))
+
+    found = reference.where(F.col(column).isNotNull()).select(F.explode(words(F.col(column))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    found = found.withColumn("look", look("token"))
+    beyond = found.where(F.col("token").rlike(r"[^\x00-\x7e]"))
+    alike = found.join(beyond.select("look").distinct().hint("merge"), "look", "left_semi")
+    return sorted((r.token, int(r.n)) for r in alike.select("token", "n").collect())
 
 
-def canonical(column: Column, tokens: list[str] | None = None) -> Column:
+def canonical(column: Column, tokens: list[tuple[str, int]] | None = None) -> Column:
     """Column expression: the canonical form of a text column, with an optional vocabulary."""
     words = tokens or []
 
@@ -200,7 +232,6 @@ def canonical(column: Column, tokens: list[str] | None = None) -> Column:
         for s in batches:
             yield s.map(lambda x: None if x is None else canonical_text(x, trie, cache))
 
-    # ASCII is canonical: such texts never leave the JVM's fast path as distinct work in Python
     return run(column)
 
 
@@ -209,8 +240,10 @@ def same_looking(blocks: DataFrame, golden: DataFrame) -> DataFrame:
     tokens = vocabulary(golden, "gold_verbatim")
     samples = golden.where("gold_verbatim is not null").select("sample_id", "gold_verbatim", canonical(F.col("gold_verbatim"), tokens).alias("look"))
     texts = blocks.where("type = 'visual' and enrichment.selected_text is not null").select("document_id", "block_id", F.col("enrichment.selected_text").alias("text"))
-    ascii_only = ~F.col("text").rlike(r"[^\x00-\x7e]")
-    looks = texts.where(ascii_only).withColumn("look", F.col("text")).unionByName(texts.where(~ascii_only).withColumn("look", canonical(F.col("text"), tokens)))
+    looks = texts.withColumn("look", canonical(F.col("text"), tokens))
+    if not Trie(tokens).foreign:  # ASCII is canonical then, and never leaves the JVM
+        ascii_only = ~F.col("text").rlike(r"[^\x00-\x7e]")
+        looks = texts.where(ascii_only).withColumn("look", F.col("text")).unionByName(looks.where(~ascii_only))
     hits = lookup_join(looks, samples, ["look"], spread=["document_id", "block_id"])
     return hits.where("text <> gold_verbatim").select("document_id", "block_id", "sample_id").distinct()
 

@@ -108,8 +108,36 @@ def test_look_alikes():
 
 def test_trie_automaton():
     t = lookalikes.Trie(["Größe", "naïve", "Groß"])
-    assert t.match("Größе") == ("Größe", 0) and t.match("Grosse") is None
+    assert t.match("Größе") == ("Größe", 0) and t.match("Grosse") is None
     assert t.match("naive", 1) == ("naïve", 1) and t.match("xyz", 1) is None and t.match("", 0) is None
+    assert t.match("na\u200bi\u0308ve") == ("naïve", 0)
+    assert t.match("xGroß", 1) == ("Groß", 1) and t.match("Gro", 1) == ("Groß", 1) and t.match("Gr", 1) is None
+
+
+def test_automaton_against_edit_distance():
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abce") for _ in range(rng.randint(1, 5))) for _ in range(30)})
+    t = lookalikes.Trie(words)
+    for _ in range(300):
+        w = "".join(rng.choice("abce") for _ in range(rng.randint(0, 6)))
+        least = min(scan_repair.distance(w, v, 9) for v in words)
+        for most in (0, 1, 2):
+            alike = "".join(rng.choice((c, lookalikes.CYRILLIC.get(c, c), c + "\u200d")) for c in w)
+            assert (t.match(alike, most) or (None, None))[1] == (least if least <= most else None)
+
+
+def test_the_vocabulary_spells(spark, blocks_of):
+    """A word all of whose letters look Latin is spelled as the vocabulary has it, which the table alone can't know."""
+    trie = lookalikes.Trie([("хор", 3), ("xop", 1), ("Ера", 1)])
+    c = lambda x: lookalikes.canonical_text(x, trie)
+    assert lookalikes.canonical_text("хоp") == "xop" and c("хоp") == c("xop") == c("ｘｏｐ") == "хор" and c("Epa yes") == "Ера yes"
+    g = spark.createDataFrame([("g1", "хор поёт"), ("g2", "хор"), ("g3", "xop"), ("g4", "plain")], GOLD)
+    assert dict(lookalikes.vocabulary(g, "gold_verbatim"))["хор"] == 2 and ("plain", 1) not in lookalikes.vocabulary(g, "gold_verbatim")
+    b = blocks_of([{"type": "visual", "selected": t, "block_id": f"b{i}"} for i, t in enumerate(["xop", "хop", "plain", "xор"])])
+    forms = {r.record_id: r.text for r in lookalikes.canonical_tables(b, g).collect()}
+    assert {forms[k] for k in ("d1/b0", "d1/b1", "d1/b3", "g2", "g3")} == {"хор"} and forms["d1/b2"] == "plain"
+    got = {(r.block_id, r.sample_id) for r in lookalikes.same_looking(b, g).collect()}
+    assert got == {("b0", "g2"), ("b1", "g2"), ("b1", "g3"), ("b3", "g2"), ("b3", "g3")}
 
 
 def test_same_looking(spark, blocks_of):
