@@ -59,21 +59,49 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(IDENTITY[data] * powers[at], starts[:-1]).view(np.int64)
 
 
-def content_chunks(texts: pa.Array, window: int = 16, mean: int = 64) -> pa.Array:
-    """Hashes of the content-defined chunks of each text, as a list column.
+#: Takes the place of a line without letters in texts given to ``chunked``.
+NO_LINE = "\x01"
 
-    A chunk ends where the rolling hash of the last ``window`` bytes meets a condition that holds
-    once in ``mean`` positions, and at the end of the text; never within the first ``window`` bytes
-    of a text, so equal texts always have equal chunks whatever surrounds them.
+
+def chunked(texts: pa.Array, window: int = 8, mean: int = 32) -> tuple[pa.Array, pa.Array]:
+    """Content-defined chunks of each text, and its lines with the chunks that lie wholly inside them.
+
+    A chunk ends where the rolling hash of the last ``window`` bytes meets a condition that holds once in ``mean`` positions, and at
+    the end of the text. Line ends are bytes like any other. Boundaries whose window lies inside a line depend on that line only, so
+    a chunk between two of them is the same wherever the line stands. The first result lists the hashes of all chunks, the second
+    structs of a line's number (from 1), the hash of the line and the hashes of the chunks inside it; ``NO_LINE`` is left out.
     """
     data, starts = packed(texts)
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("line", pa.int64()), ("inside", pa.list_(pa.int64()))]))
     if len(texts) == 0:
-        return pa.array([], pa.list_(pa.int64()))
+        return pa.array([], pa.list_(pa.int64())), pa.array([], kind)
     cut = (rolling(data, window) >> np.uint64(window)) % np.uint64(mean) == 0
     near = np.arange(len(data)) - np.repeat(starts[:-1], np.diff(starts)) < window - 1
     cut[near] = False
     cut[starts[1:] - 1] = True
-    ends = np.flatnonzero(cut) + 1
-    hashes = segment_hashes(data, np.concatenate([[0], ends]))
-    offsets = np.searchsorted(ends, starts, side="right")
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes))
+    ends = np.flatnonzero(cut)
+    hashes = segment_hashes(data, np.concatenate([[0], ends + 1]))
+    chunks = pa.ListArray.from_arrays(pa.array(np.searchsorted(ends, starts, side="left"), pa.int32()), pa.array(hashes))
+
+    stop = np.flatnonzero((data == 10) | (data == 0))  # the end of each line, that of the text included
+    first = np.concatenate([[0], stop[:-1] + 1])
+    value = IDENTITY[data]
+    value[stop] = 0
+    at = np.arange(len(data)) - np.repeat(first, stop + 1 - first)
+    powers = np.ones(int((stop + 1 - first).max()), np.uint64)
+    np.multiply.accumulate(np.full(len(powers) - 1, STEP, np.uint64), out=powers[1:])
+    line = np.add.reduceat(value * powers[at], first).view(np.int64)
+    text = np.searchsorted(starts, first, side="right") - 1
+    head = np.searchsorted(first, starts[:-1], side="left")
+    number = np.arange(len(first)) - head[text] + 1
+    kept = ~((stop - first == 1) & (data[first] == 1))
+    # chunks inside a line: those that begin after its first own boundary and end before the line does
+    low = np.searchsorted(ends, first + window - 1, side="left") + 1
+    high = np.maximum(low, np.searchsorted(ends, stop, side="left"))
+    low, high = low[kept], high[kept]
+    size = high - low
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    which = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - low, size)
+    inside = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[which]))
+    rows = pa.StructArray.from_arrays([pa.array(number[kept], pa.int32()), pa.array(line[kept]), inside], fields=list(kind.value_type))
+    return chunks, pa.ListArray.from_arrays(pa.array(np.searchsorted(text[kept], np.arange(len(texts) + 1), side="left"), pa.int32()), rows)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirewright.cluster import fits_broadcast, lookup_join, materialize
+from quirewright.cluster import fits_broadcast, key_join, lookup_join, materialize
 
 MIN_CHARS = 40
 
@@ -166,5 +166,5 @@ def record_classes(page_blocks: DataFrame, min_chars: int = MIN_CHARS) -> DataFr
     g = materialize(record_groups(page_records(page_blocks), min_chars), "groups")
     firsts = g.where("id = first_id").select(F.col("id").alias("pb_id"), "copies")
     ids = page_blocks.where("pb_id is not null").select("pb_id").distinct()
-    alone = lookup_join(ids, g.select(F.col("id").alias("pb_id")), ["pb_id"], "left_anti", materialized=False)
+    alone = key_join(ids, g.select(F.col("id").alias("pb_id")), ["pb_id"], "left_anti")
     return firsts.unionByName(alone.select("pb_id", F.lit(1).cast("long").alias("copies")))

@@ -1,11 +1,11 @@
 """Lines repeated across one site's documents (problem 1).
 
-Method: content-defined chunking with a rolling hash. Every line of the text, reduced to its
-letters, is cut into chunks by a gear hash; a line end also ends a chunk, because the result is
-asked for by line and a chunk that straddled two lines would tie a notice to its neighbours.
-Distinct documents are counted per (site, chunk); a line is a candidate if every one of its chunks
-stands in at least ``min_share`` of the site's documents, and an exact count of the candidate lines
-follows. As a repeated line has only repeated chunks, no line is lost by the chunk filter.
+Method: content-defined chunking with a rolling hash. A block's text, each line reduced to its letters, is cut into chunks by
+a gear hash whatever lines there are: a line end is a byte like any other. Distinct documents are counted per (site, chunk), and chunks that
+stand in at least ``min_share`` of the site's documents are cut. The result is asked for by line, so cuts are mapped back to lines: a
+line is a candidate if all chunks wholly inside it are cut. Those depend on the line alone, so no repeated line is
+lost, whatever stands around it; a line too short to hold a whole chunk (half of all repeated lines have ten letters at most) can't be ruled out by
+chunks. An exact count of the candidate lines follows, as a chunk that joins two lines would tie a notice to its neighbours.
 
 Scale: one pass over the text; what is shuffled is 64-bit hashes. Counts are pre-aggregated and hashed by
 (site, chunk, document), so a site that holds a third of all rows is spread over all tasks; lookups by
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirewright.cluster import lookup_join, materialize
+from quirewright.cluster import key_join, lookup_join, materialize
 
 # Names of months in English, German, French and Spanish, long and short forms.
 MONTHS = (
@@ -65,25 +65,21 @@ def site_of_documents(web: DataFrame) -> DataFrame:
 def _chunked(batches):
     import pyarrow as pa
 
-    from quirewright.llm.hashing import content_chunks
+    from quirewright.llm.hashing import chunked
 
     for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), b.column(2), b.column(3), content_chunks(b.column(4))],
-            names=["document_id", "block_id", "line_no", "line", "chunks"],
-        )
-
-
-def chunked_lines(blocks: DataFrame) -> DataFrame:
-    """(document_id, block_id, line_no, line, chunks): every line with a letter; line and chunks are 64-bit hashes."""
-    lines = (
-        blocks.where(F.col("source_kind").isin(*WEB) & F.col("type").isin(*LINE_TYPES) & F.col("text").rlike(r"\p{L}"))
-        .select("document_id", "block_id", F.posexplode(F.split("text", "\n")).alias("i", "words"))
-        .where(F.col("words").rlike(r"\p{L}"))
-        .select("document_id", "block_id", (F.col("i") + 1).alias("line_no"), line_key(F.col("words")).alias("key"))
-        .select("document_id", "block_id", "line_no", F.xxhash64("key").alias("line"), "key")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *chunked(b.column(2))], names=["document_id", "block_id", "chunks", "lines"])
+
+
+def chunked_blocks(blocks: DataFrame) -> DataFrame:
+    """(document_id, block_id, chunks, lines): hashes of the chunks of every block with a letter, and its lines with the chunks inside them."""
+    from quirewright.llm.hashing import NO_LINE
+
+    keys = F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike(r"\p{L}"), line_key(x)).otherwise(F.lit(NO_LINE)))
+    rows = blocks.where(F.col("source_kind").isin(*WEB) & F.col("type").isin(*LINE_TYPES) & F.col("text").rlike(r"\p{L}"))
+    return rows.select("document_id", "block_id", F.array_join(keys, "\n").alias("keys")).mapInArrow(
+        _chunked, "document_id string, block_id string, chunks array<long>, lines array<struct<no:int,line:long,inside:array<long>>>"
     )
-    return lines.mapInArrow(_chunked, "document_id string, block_id string, line_no int, line long, chunks array<long>")
 
 
 def repeated_lines(blocks: DataFrame, min_share: float = 0.25, min_documents: int = 5) -> DataFrame:
@@ -93,26 +89,28 @@ def repeated_lines(blocks: DataFrame, min_share: float = 0.25, min_documents: in
     totals = materialize(
         sites.groupBy("site").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= min_documents), "totals"
     )
-    lines = lookup_join(materialize(chunked_lines(blocks), "lines"), sites, ["document_id"], spread=["block_id", "line_no"], materialized=True)
+    cut = lookup_join(materialize(chunked_blocks(blocks), "chunked"), sites, ["document_id"], spread=["block_id"], materialized=True)
     enough = F.col("n") >= F.col("documents") * min_share
 
     counts = (
-        lines.select("site", F.explode("chunks").alias("chunk"), F.xxhash64("document_id").alias("d"))
+        cut.select("site", F.explode(F.array_distinct("chunks")).alias("chunk"), F.xxhash64("document_id").alias("d"))
         .distinct()
         .groupBy("site", "chunk")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     repeated = materialize(lookup_join(counts, totals, ["site"], materialized=True).where(enough).select("site", "chunk"), "repeated")
 
-    first = lines.withColumn("chunk", F.element_at("chunks", 1))
+    keys = ["site", "document_id", "block_id", "line_no", "line"]
+    lines = cut.select("site", "document_id", "block_id", F.explode("lines").alias("l")).select("site", "document_id", "block_id", F.col("l.no").alias("line_no"), F.col("l.line").alias("line"), "l.inside")
+    short = lines.where(F.size("inside") == 0)
+    first = lines.where(F.size("inside") > 0).withColumn("chunk", F.element_at("inside", 1))
     maybe = lookup_join(first, repeated, ["site", "chunk"], spread=["document_id", "block_id"], materialized=True)
-    maybe = materialize(maybe.select("site", "document_id", "block_id", "line_no", "line", "chunks"), "maybe")
-    short = maybe.where(F.size("chunks") == 1)
-    long = maybe.where(F.size("chunks") > 1).withColumn("chunk", F.explode(F.array_distinct(F.slice("chunks", 2, 1 << 30))))
+    maybe = materialize(maybe.select(*keys, "inside"), "maybe")
+    one = maybe.where(F.size("inside") == 1)
+    long = maybe.where(F.size("inside") > 1).withColumn("chunk", F.explode(F.array_distinct(F.slice("inside", 2, 1 << 30))))
     long = lookup_join(long, repeated.withColumn("hit", F.lit(1)), ["site", "chunk"], "left", spread=["document_id", "block_id"], materialized=False)
-    long = long.groupBy("site", "document_id", "block_id", "line_no", "line").agg(F.min(F.coalesce("hit", F.lit(0))).alias("all")).where("all = 1")
-    keys = ["site", "document_id", "block_id", "line_no", "line"]
-    candidates = short.select(*keys).unionByName(long.select(*keys))
+    long = long.groupBy(*keys).agg(F.min(F.coalesce("hit", F.lit(0))).alias("all")).where("all = 1")
+    candidates = short.select(*keys).unionByName(one.select(*keys)).unionByName(long.select(*keys))
 
     lines_n = candidates.select("site", "line", "document_id").distinct().groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
     exact = lookup_join(lines_n, totals, ["site"], materialized=True).where(enough).select("site", "line")
@@ -126,7 +124,7 @@ def without_repeated_lines(blocks: DataFrame, min_share: float = 0.25, min_docum
     """
     gone = repeated_lines(blocks, min_share, min_documents).groupBy("document_id", "block_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
     base = blocks.drop("removed_lines", "clean_text")
-    out = lookup_join(base, gone, ["document_id", "block_id"], "left")
+    out = key_join(base, gone, ["document_id", "block_id"], "left")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda s: ~F.array_contains(F.col("removed_lines"), s.n))
     hit = F.col("removed_lines").isNotNull() & F.col("source_kind").isin(*WEB) & F.col("type").isin(*LINE_TYPES)
     return out.withColumn("clean_text", F.when(hit, F.array_join(F.transform(kept, lambda s: s.x), "\n")).otherwise(F.col("text"))).withColumn(

@@ -40,23 +40,40 @@ def pbs(spark, rows):
 # ---- hashes -----------------------------------------------------------------------------------------------------
 
 
-def test_chunks_depend_on_the_text_only():
+def brute_chunks(text, window=8, mean=32):
+    data = text.encode() + b"\0"
+    ends, start, out = [], 0, []
+    for i in range(len(data)):
+        h = sum(int(hashing.GEAR[data[i - j]]) << j for j in range(window)) & (2**64 - 1) if i >= window - 1 else 1
+        if i == len(data) - 1 or i >= window - 1 and (h >> window) % mean == 0:
+            ends.append(i)
+            out.append(data[start : i + 1])
+            start = i + 1
+    return out, ends
+
+
+def test_chunks_against_brute_force():
     import pyarrow as pa
 
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abcdéf ") for _ in range(rng.randint(0, 400))) for _ in range(50)]
-    a = hashing.content_chunks(pa.array(texts)).to_pylist()
-    b = hashing.content_chunks(pa.array(texts[::-1])).to_pylist()[::-1]
-    assert a == b and all(len(x) >= 1 for x in a)
-    assert hashing.content_chunks(pa.array([], pa.string())).to_pylist() == []
-    shared = "".join(rng.choice("abcdefghijk ") for _ in range(900))
-    x, y = hashing.content_chunks(pa.array(["intro one " + shared, "another start " + shared])).to_pylist()
-    assert set(x) & set(y)  # chunks find their way back to the same cuts
-    sliced = pa.array(["zz", *texts]).slice(1)
-    assert hashing.content_chunks(sliced).to_pylist() == a
-
-
-# ---- problem 1 --------------------------------------------------------------------------------------------------
+    texts = ["".join(rng.choice("abcdefgh\n") for _ in range(rng.choice((0, 5, 40, 300, 900)))) for _ in range(40)] + ["", "\n", hashing.NO_LINE, f"ab\n{hashing.NO_LINE}\ncd", "é" * 300]
+    chunks, lines = hashing.chunked(pa.array(texts))
+    names: dict = {}
+    for text, got, rows in zip(texts, chunks.to_pylist(), lines.to_pylist()):
+        want, ends = brute_chunks(text)
+        assert len(got) == len(want)
+        for h, c in zip(got, want):  # one hash a chunk, and one chunk a hash
+            assert names.setdefault(h, c) == c and names.setdefault(c, h) == h
+        raw, own, begin = text.encode(), [], 0
+        for no, line in enumerate(raw.split(b"\n"), 1):
+            if line != hashing.NO_LINE.encode():
+                marks = [i for i, e in enumerate(ends) if begin + 7 <= e < begin + len(line)]
+                own.append((no, [got[i] for i in marks[1:]]))
+            begin += len(line) + 1
+        assert [(r["no"], r["inside"]) for r in rows] == own
+    again = hashing.chunked(pa.array(["other\n" + texts[3]]))[1].to_pylist()[0][1:]
+    assert [(r["line"], r["inside"]) for r in again][1:] == [(r["line"], r["inside"]) for r in lines.to_pylist()[3]][1:]
+    assert hashing.chunked(pa.array([], pa.string()))[0].to_pylist() == []
 
 
 def web(i, text, site="www.Ex.org", **more):
