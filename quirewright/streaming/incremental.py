@@ -6,11 +6,16 @@ the new watermark by one atomic rename. A run that breaks off leaves files that
 nothing is skipped and nothing appears twice; of two runs at once only one can take a sequence number.
 
 The sequence is whatever the source assigns when a row becomes visible (here ``ingested_at``); captures may
-arrive long after they were taken, so the time of capture could not serve as one. Rows without a
-sequence value are taken by the time of capture. A value must be complete when it is first seen as the maximum.
+arrive long after they were taken, so the time of capture could not serve as one. A source may still deliver rows late: at or below the
+watermark, or without any sequence value. Each commit therefore keeps a fingerprint (count and hash sums) of every day's rows and the hashes of the rows it took; a
+day below the watermark whose fingerprint has changed is read again, and those of its rows that no commit took are new. A row delivered
+twice is not new.
 
 Scale: keys are reduced by partial aggregates (a source with a third of all rows costs no more), the join
-is between one row per source on either side, and the log holds one small file per run.
+is between one row per source on either side. A run without late rows reads the source once more for its fingerprint, a few numbers
+a day; only days that changed are compared with the hashes taken.
+
+Cases: a table without new or late rows makes no commit, unless sources left unfinished are to be taken up; rows without a sequence value form a day of their own.
 """
 
 from __future__ import annotations
@@ -19,8 +24,10 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # States of a source whose work is done.
@@ -29,13 +36,15 @@ FINISHED = ("accepted", "review", "rejected")
 
 @dataclass(frozen=True)
 class Commit:
-    """One committed run: its number, the sequence it covers (low, high], and where its output lies."""
+    """One committed run: its number, the sequence it covers (low, high], and where its output, the hashes of the rows it took and the days' fingerprints lie."""
 
     number: int
     low: str | None
     high: str | None
     path: str
     rows: int
+    taken: str | None = None
+    days: str | None = None
 
 
 class CommitLog:
@@ -92,6 +101,29 @@ class CommitLog:
         paths = [c.path for c in self.commits()]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def current(self, *key: str) -> DataFrame | None:
+        """Of the output of all commits, the rows of the last commit that has any for their ``key``; None before the first."""
+        runs = [self.spark.read.parquet(c.path).withColumn("__run", F.lit(c.number)) for c in self.commits()]
+        if not runs:
+            return None
+        whole = reduce(DataFrame.unionByName, runs)
+        return whole.withColumn("__last", F.max("__run").over(W.partitionBy(*key))).where("__run = __last").drop("__run", "__last")
+
+
+#: Characters of a sequence value that tell its day.
+_DAY = 10
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their day and two 64-bit hashes of all their columns."""
+    own = [c for c in rows.columns if c != "__seq"]
+    return rows.withColumn("__day", F.coalesce(F.substring("__seq", 1, _DAY), F.lit(""))).withColumn("__a", F.xxhash64(*own)).withColumn("__b", F.xxhash64(F.lit(7), *own))
+
+
+def _fingerprints(hashed: DataFrame) -> DataFrame:
+    """(day, n, x, y): what tells whether the rows of a day have changed."""
+    return hashed.groupBy(F.col("__day").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("__a").alias("x"), F.sum(F.shiftrightunsigned("__b", 24)).alias("y"))
+
 
 def run_incremental(
     log: CommitLog,
@@ -99,25 +131,42 @@ def run_incremental(
     sequence: Column,
     process: Callable[[DataFrame, DataFrame], DataFrame],
     before_commit: Callable[[], None] | None = None,
+    until: str | None = None,
+    unfinished: Callable[[], bool] = lambda: False,
 ) -> Commit | None:
-    """Process the rows of ``source`` above the watermark and up to the limit found at the start; None if there are none.
+    """Process the rows of ``source`` that no commit took, up to the limit found at the start; None if there are none and nothing is ``unfinished``.
 
-    ``process(new, upto)`` gets the new rows and all rows up to the limit. ``before_commit`` is a
-    hook for tests of broken runs.
+    ``process(new, upto)`` gets the new rows and all rows up to the limit, which is the greatest sequence value, or the greatest up
+    to ``until``. ``before_commit`` is a hook for tests of broken runs.
     """
     last = log.last()
     seq = sequence.cast("string") if not isinstance(sequence, str) else F.col(sequence).cast("string")
     rows = source.withColumn("__seq", seq)
-    high = rows.agg(F.max("__seq")).first()[0]
+    high = rows.agg(F.max(F.when(F.lit(until is None) | (F.col("__seq") <= F.lit(until)), F.col("__seq")))).first()[0]
     low = last.high if last else None
-    if high is None and last is not None or high is not None and low is not None and high <= low:
+    if low is not None and (high is None or high < low):
+        high = low
+    upto = rows.where(F.col("__seq").isNull() | (F.col("__seq") <= F.lit(high)))
+    hashed = _hashed(upto)
+    new = hashed
+    if last is not None:
+        above = F.lit(low is None) & F.col("__seq").isNotNull() | F.coalesce(F.col("__seq") > F.lit(low), F.lit(False))
+        below = hashed.where(~above)
+        now, then = _fingerprints(below), log.spark.read.parquet(last.days)
+        # a day is one row here; changed days are few
+        changed = now.join(then.select("day", F.struct("n", "x", "y").alias("old")), "day", "left").where(~F.struct("n", "x", "y").eqNullSafe(F.col("old"))).select(F.col("day").alias("__day"))
+        taken = log.spark.read.parquet(*[c.taken for c in log.commits() if c.taken])
+        late = below.join(changed, "__day", "left_semi").join(taken.hint("merge"), ["__day", "__a", "__b"], "left_anti")
+        new = hashed.where(above).unionByName(late.select(*hashed.columns))
+    root = f"{log.root}/data/{uuid.uuid4().hex}"
+    new.select("__day", "__a", "__b").distinct().write.parquet(f"{root}/taken")
+    if last is not None and not log.spark.read.parquet(f"{root}/taken").limit(1).count() and not unfinished():
         return None
-    upto = rows if high is None else rows.where(F.col("__seq").isNull() | (F.col("__seq") <= high))
-    new = upto if low is None else upto.where(F.col("__seq") > low)
-    path = f"{log.root}/data/{uuid.uuid4().hex}"
-    process(new.drop("__seq"), upto.drop("__seq")).write.parquet(path)
+    _fingerprints(hashed).write.parquet(f"{root}/days")
+    extra = ("__seq", "__day", "__a", "__b")
+    process(new.drop(*extra), upto.drop("__seq")).write.parquet(f"{root}/output")
     number = last.number + 1 if last else 1
-    entry = Commit(number, low, high, path, log.spark.read.parquet(path).count())
+    entry = Commit(number, low, high, f"{root}/output", log.spark.read.parquet(f"{root}/output").count(), f"{root}/taken", f"{root}/days")
     if before_commit:
         before_commit()
     log.commit(entry)
@@ -158,16 +207,26 @@ def pending(manifests: DataFrame, batch_state: DataFrame) -> DataFrame:
     return joined.where(F.col("finished").isNull() | ~same).select("canonical_source", "document_id")
 
 
-def captures_to_process(log: CommitLog, manifests: DataFrame, batch_state: DataFrame, before_commit: Callable[[], None] | None = None) -> Commit | None:
-    """Run the incremental step over manifests: sources with a new row, or left unfinished, up to the limit fixed at the start."""
+def captures_to_process(log: CommitLog, manifests: DataFrame, batch_state: DataFrame, before_commit: Callable[[], None] | None = None, until: str | None = None) -> Commit | None:
+    """Run the incremental step over manifests: sources with a new row, or left unfinished, up to the limit fixed at the start.
+
+    The output (canonical_source, document_id, waiting) has every source the run looked at; a later run may find that one no longer waits.
+    """
     first = log.last() is None
+    open_keys = batch_state.where(~F.col("status").isin(*FINISHED) & F.col("source_key").isNotNull()).select(F.col("source_key").alias("canonical_source")).distinct()
 
     def process(new: DataFrame, upto: DataFrame) -> DataFrame:
-        if first:
-            return pending(upto, batch_state)
-        open_keys = batch_state.where(~F.col("status").isin(*FINISHED)).select(F.col("source_key").alias("canonical_source"))
-        touched = new.select("canonical_source").unionByName(open_keys).distinct()
-        return pending(upto.join(touched, "canonical_source", "left_semi"), batch_state)
-
-    sequence = F.date_format(F.coalesce("ingested_at", "captured_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return run_incremental(log, manifests, sequence, process, before_commit)
+        touched = upto if first else new.select("canonical_source").unionByName(open_keys).distinct()
+        mine = upto if first else upto.join(touched, "canonical_source", "left_semi")
+        waiting = pending(mine, batch_state).withColumn("waiting", F.lit(True))
+        seen = mine.select("canonical_source").where("canonical_source is not null").distinct()
+        return seen.join(waiting, "canonical_source", "left").select("canonical_source", "document_id", F.coalesce("waiting", F.lit(False)).alias("waiting"))
+
+    sequence = F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return run_incremental(log, manifests, sequence, process, before_commit, until, lambda: bool(open_keys.limit(1).count()))
+
+
+def captures_waiting(log: CommitLog) -> DataFrame | None:
+    """(canonical_source, document_id) of captures that wait after all committed runs."""
+    now = log.current("canonical_source")
+    return None if now is None else now.where("waiting").select("canonical_source", "document_id").distinct()

@@ -59,15 +59,40 @@ def test_log_survives_a_broken_run(spark, tmp_path):
         log.commit(I.Commit(2, None, None, "elsewhere", 0))
 
 
+def test_late_rows_are_taken_once(spark, tmp_path):
+    """Rows without a sequence value, at the watermark and below it that come after a run are new, once; rows delivered again are not."""
+    log = I.CommitLog(spark, f"file://{tmp_path}/late")
+    make = lambda *rows: spark.createDataFrame(list(rows), "v int, seq string")
+    copy = lambda new, upto: new
+    a = make((1, "2024-01-01"), (2, "2024-01-03"), (3, None))
+    assert I.run_incremental(log, a, F.col("seq"), copy).rows == 3
+    assert I.run_incremental(log, a.unionByName(make((1, "2024-01-01"), (3, None))), F.col("seq"), copy) is None
+    b = a.unionByName(make((4, None), (5, "2024-01-03"), (6, "2024-01-02"), (7, "2024-01-04"), (8, "2024-02-01")))
+    assert I.run_incremental(log, b, F.col("seq"), copy, until="2024-01-05").rows == 4
+    assert I.run_incremental(log, b, F.col("seq"), copy).rows == 1
+    assert I.run_incremental(log, b, F.col("seq"), copy) is None
+    assert sorted(r.v for r in log.committed().collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
+    none = I.CommitLog(spark, f"file://{tmp_path}/none")
+    assert I.run_incremental(none, a.where("seq is null"), F.col("seq"), copy).rows == 1
+    assert I.run_incremental(none, a, F.col("seq"), copy).rows == 2
+
+
 def test_captures_run(spark, tmp_path):
     log = I.CommitLog(spark, f"file://{tmp_path}/c")
     m = manifest(spark, [("a", 1, "h", "g", 1), ("b", 1, "h", "g", 2)])
     done = state(spark, [("b", "accepted", 1, "h", "g", 1)])
-    assert I.captures_to_process(log, m, done).rows == 1
+    waiting = lambda: {(r.canonical_source, r.document_id) for r in I.captures_waiting(log).collect()}
+    assert I.captures_waiting(log) is None
+    I.captures_to_process(log, m, done)
+    assert waiting() == {("a", "a1")}
     later = m.unionByName(manifest(spark, [("b", 3, "h3", "g", 5)]))
-    done = done.unionByName(state(spark, [("a", "failed", 1, None, None, 1)]))
-    assert I.captures_to_process(log, later, done).rows == 2  # the changed source, and the one that failed
-    assert log.committed().count() == 3
+    failed = done.unionByName(state(spark, [("a", "failed", 1, None, None, 1)]))
+    I.captures_to_process(log, later, failed)  # the changed source, and the one that failed
+    assert waiting() == {("a", "a1"), ("b", "b3")}
+    finished = done.unionByName(state(spark, [("a", "running", 1, None, None, 1), ("a", "accepted", 2, "h", "g", 2)]))
+    assert I.captures_to_process(log, later, finished) is not None  # no new row, but a source left unfinished
+    assert waiting() == {("b", "b3")}
+    assert I.captures_to_process(log, later, done) is None
 
 
 def test_page_states_stream(spark, tmp_path):
