@@ -13,10 +13,10 @@ PUNCTUATION = {
     "quotes": "'\"`", "brackets": "()[]{}<>", "slash_backslash": "/\\", "underscore_hyphen": "_-", "colon_semicolon": ":;",
     "equals": "=", "pipe": "|", "at": "@", "hash": "#", "dollar": "$",
 }
-# Characters that may stand for one another in a transcription, gold first.
+# Characters that may stand for one another in a transcription, gold first; of several for one character the last that holds.
 CONFUSABLE = {
-    "0": "O", "O": "0", "1": "lI", "l": "1I", "I": "l1", "5": "S", "S": "5", "2": "Z", "Z": "2", "B": "8", "8": "B", "m": "rn", ",": ".，", ".": ",", "；": ";", ";": "；",
-    "，": ",", "（": "(", "(": "（", "）": ")", ")": "）", "　": " ", " ": "　", "\"": "'", "‘": "'", "’": "'", "“": "\"", "”": "\"",
+    "0": "O", "O": "0", "1": "lI", "l": "1I", "I": "l1", "5": "S", "S": "5", "2": "Z", "Z": "2", "B": "8", "8": "B", "m": "rn", ".": ",", "；": ";", ";": "；", "，": ",", ",": "，",
+    "（": "(", "(": "（", "）": ")", ")": "）", "　": " ", " ": "　", "\"": "''", "‘": "'", "’": "'", "“": "\"", "”": "\"",
 }
 URL, HASH = r"(https?://[^\s'\"<>)]+)", r"(?i)\b([a-f0-9]{32,64})\b"
 LINE_NUMBER = r"(?U)^\s*\d+[\s.)\]]+"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirewright.functions.text import IMAGE_MARKDOWN, unclosed_fence
 from quirewright.streaming.incremental import FINISHED, plain_hash
 
 
@@ -69,18 +72,50 @@ def compatible_shards(states: DataFrame, current: DataFrame, model: str, revisio
     return joined.where(F.coalesce(fits, F.lit(False))).select(*states.columns)
 
 
-def full_completeness(pages: DataFrame) -> DataFrame:
-    """One row per document from page rows (page_number, state, native_text_chars, visual_count, visuals_represented, fallbacks, uncertain, flags): sums, gaps and a hard verdict."""
-    ok = F.coalesce(F.col("state") == "verified", F.lit(False))
+#: A page that took longer is suspicious.
+SLOW_SECONDS = 300
+
+
+def full_completeness(pages: DataFrame, markdown: DataFrame | None = None, merges: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """One row per document: 22 measures of its pages, visuals, Markdown and reconstruction, and a hard verdict of ten terms.
+
+    ``pages`` has page_number, state, native_text_chars, visual_count, visuals_represented, fallbacks, suspicious and, where known,
+    visuals_uncertain, visuals_missing and seconds; ``markdown`` the documents' Markdown; ``merges`` what ``reconstruction_stats`` gives;
+    ``expected`` the documents' pages_total, else the greatest page number. Pages of 1 to pages_total without a row count as
+    missing. Measures of a table that isn't given are 0.
+    """
+    state = lambda *names: F.coalesce(F.col("state").isin(*names), F.lit(False))
+    given = lambda name, other: F.coalesce(F.col(name), other) if name in pages.columns else other
+    of = lambda name: F.coalesce(F.col(name), F.lit(0))
+    odd = F.coalesce("suspicious", F.lit(False)) | (given("seconds", F.lit(0.0)) > SLOW_SECONDS)
     out = pages.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("pages_total"), F.count_if(ok).alias("pages_verified"), F.count_if(F.coalesce(F.col("state") == "failed", F.lit(False))).alias("pages_failed"),
-        F.count_if(F.col("state").isNull() | F.col("state").isin("pending", "missing")).alias("pages_missing"),
-        (F.max("page_number") - F.min("page_number") + 1 - F.count_distinct("page_number")).alias("page_gaps"), F.sum(F.coalesce("native_text_chars", F.lit(0))).alias("native_text_chars"),
-        F.sum(F.coalesce("visual_count", F.lit(0))).alias("visuals_total"), F.sum(F.coalesce("visuals_represented", F.lit(0))).alias("visuals_represented"),
-        F.sum(F.coalesce("fallbacks", F.lit(0))).alias("fallbacks"), F.count_if(F.coalesce("suspicious", F.lit(False))).alias("suspicious_pages"),
+        F.max("page_number").alias("__last"), F.count_distinct(F.when(F.col("page_number") >= 1, F.col("page_number"))).alias("__told"), F.count_if(state("missing") | F.col("state").isNull()).alias("__missing"),
+        F.count_if(state("verified")).alias("pages_verified"), F.count_if(state("failed")).alias("pages_failed"), F.count_if(odd).alias("pages_suspicious"),
+        F.sum(of("visual_count")).alias("visuals_total"), F.sum(of("visuals_represented")).alias("visuals_represented"), F.sum(given("visuals_uncertain", F.lit(0))).alias("visuals_uncertain"),
+        F.sum(given("visuals_missing", F.greatest(F.lit(0), of("visual_count") - of("visuals_represented")))).alias("visuals_missing"), F.sum(of("native_text_chars")).alias("native_text_chars_total"),
+        F.sum(of("fallbacks")).alias("fallback_count"),
     )
-    hard = (F.col("pages_verified") == F.col("pages_total")) & (F.col("pages_failed") == 0) & (F.col("page_gaps") == 0) & (F.col("visuals_represented") >= F.col("visuals_total")) & (F.col("fallbacks") == 0)
-    return out.withColumn("hard_pass", hard)
+    out = out.join(expected.select("document_id", F.col("pages_total").alias("__expected")), "document_id", "left") if expected is not None else out.withColumn("__expected", F.col("__last"))
+    total = F.greatest(F.coalesce("__expected", F.lit(0)), F.coalesce("__last", F.lit(0)))
+    absent = F.greatest(F.lit(0), total - F.col("__told"))
+    out = out.withColumn("pages_total", total).withColumn("pages_visited", F.col("__told") + absent).withColumn("page_sequence_gaps", absent + F.col("__missing"))
+    shown = ["final_markdown_chars", "markdown_image_count", "html_img_count", "base64_image_count", "unclosed_fence_count"]
+    if markdown is not None:
+        md, low = F.coalesce("markdown", F.lit("")), F.lower(F.coalesce("markdown", F.lit("")))
+        counted = markdown.select(
+            "document_id", F.length(md).alias(shown[0]), F.regexp_count(md, F.lit(IMAGE_MARKDOWN)).alias(shown[1]), F.regexp_count(low, F.lit("<img")).alias(shown[2]), F.regexp_count(low, F.lit("data:image/")).alias(shown[3]), unclosed_fence(md, strict=False).alias(shown[4])
+        )
+        out = out.join(counted, "document_id", "left").na.fill(0, shown)
+    else:
+        out = out.withColumns({n: F.lit(0) for n in shown})
+    made = ["furniture_removed_count", "cross_page_paragraph_merges", "cross_page_code_merges", "unsafe_merge_candidates_skipped"]
+    told = ["furniture_removed", "paragraph_merges", "code_merges", "unsafe_skipped"]
+    out = out.join(merges.select("document_id", *[F.col(x).alias(n) for x, n in zip(told, made)]), "document_id", "left").na.fill(0, made) if merges is not None else out.withColumns({n: F.lit(0) for n in made})
+    out = out.withColumn("native_text_coverage_ratio", F.col("final_markdown_chars") / F.greatest(F.lit(1), "native_text_chars_total"))
+    whole = (F.col("pages_visited") == F.col("pages_total")) & (F.col("pages_verified") == F.col("pages_total"))
+    none = ["pages_failed", "page_sequence_gaps", "visuals_missing", "markdown_image_count", "html_img_count", "base64_image_count", "unclosed_fence_count", "fallback_count"]
+    hard = reduce(lambda x, n: x & (F.col(n) == 0), none, whole)
+    return out.withColumn("hard_pass", hard).drop("__last", "__told", "__missing", "__expected")
 
 
 def page_seconds(started: Column, completed: Column) -> Column:

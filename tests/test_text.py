@@ -182,3 +182,10 @@ def test_metrics(spark):
         assert r.h == pytest.approx(odd / len(act) if act else 0.0)
         n, m = sum(c.isdigit() for c in gold), sum(c.isdigit() for c in act)
         assert r.dig == pytest.approx((1.0 if m == 0 else 0.0) if n == 0 else 1 - abs(n - m) / max(n, m))
+
+
+def test_what_a_comma_may_be_taken_for(spark):
+    from quirewright.functions import metrics
+
+    df = spark.createDataFrame([("a,b", "a，b"), ("a,b", "a.b"), ("a.b", "a,b")], "gold string, actual string")
+    assert [r[0] for r in df.select(metrics.hallucination_rate(F.col("gold"), F.col("actual"))).collect()] == [0.0, 1 / 3, 0.0]
