@@ -112,26 +112,34 @@ def spelling(token: str) -> str:
 class Trie:
     """Trie of vocabulary spellings, in decomposed plain characters of their own script; a terminal holds spelling and count."""
 
-    __slots__ = ("root", "n", "foreign")
+    __slots__ = ("root", "n", "ambiguous")
 
     def __init__(self, tokens: Iterable[str | tuple[str, int]] = ()):
         self.root: dict = {}
         self.n = 0
-        #: Whether some spelling beyond ASCII looks like ASCII, so that ASCII tokens must be looked up.
-        self.foreign = False
+        #: Spellings beyond ASCII that look like ASCII.
+        self.ambiguous: set[str] = set()
         for t in tokens:
             self.add(*((t, 1) if isinstance(t, str) else t))
 
     def add(self, token: str, count: int = 1) -> None:
-        """Add occurrences of a spelling."""
+        """Add occurrences of a spelling; one that mixes scripts is no spelling of its word, and counts as the table's."""
         own = spelling(token)
+        if len({unicodedata.name(c, "").split(" ")[0] for c in own if c.isalpha()} & {"LATIN", "CYRILLIC", "GREEK"}) > 1:
+            own = unicodedata.normalize("NFC", skeleton(own))
         plain = unicodedata.normalize("NFD", own)
         node = self.root
         for c in plain:
             node = node.setdefault(c, {})
         self.n += "" not in node
         node[""] = (own, node.get("", (own, 0))[1] + count)
-        self.foreign |= not own.isascii() and all(_TO_LATIN.get(c, c).isascii() for c in plain)
+        if not own.isascii() and all(_TO_LATIN.get(c, c).isascii() for c in plain):
+            self.ambiguous.add(own)
+
+    @property
+    def foreign(self) -> bool:
+        """Whether a canonical spelling beyond ASCII looks like ASCII, so that ASCII tokens must be looked up."""
+        return any(not self.match(w)[0].isascii() for w in self.ambiguous)
 
     @staticmethod
     def cost(c: str, d: str) -> int:

@@ -148,6 +148,7 @@ def test_the_vocabulary_spells(spark, blocks_of):
     trie = lookalikes.Trie([("хор", 3), ("xop", 1), ("Ера", 1)])
     c = lambda x: lookalikes.canonical_text(x, trie)
     assert lookalikes.canonical_text("хоp") == "xop" and c("хоp") == c("xop") == c("ｘｏｐ") == "хор" and c("Epa yes") == "Ера yes"
+    assert lookalikes.Trie([("сurl", 9)]).match("curl") == ("curl", 0) and not lookalikes.Trie([("сurl", 9)]).foreign
     g = spark.createDataFrame([("g1", "хор поёт"), ("g2", "хор"), ("g3", "xop"), ("g4", "plain")], GOLD)
     assert dict(lookalikes.vocabulary(g, "gold_verbatim"))["хор"] == 2 and ("plain", 1) not in lookalikes.vocabulary(g, "gold_verbatim")
     b = blocks_of([{"type": "visual", "selected": t, "block_id": f"b{i}"} for i, t in enumerate(["xop", "хop", "plain", "xор"])])
@@ -387,7 +388,9 @@ def test_deletion_keys():
     assert len(scan_repair.deletion_keys("x" * 20_000)) == 2
 
 
-def test_words_broken_at_the_end_of_a_record(spark, blocks_of):
+@pytest.mark.parametrize("pages", [64, 1])
+def test_words_broken_at_the_end_of_a_record(spark, blocks_of, monkeypatch, pages):
+    monkeypatch.setattr(scan_repair, "RANGE", pages)  # with one page a range, all joins over pages are seams
     page = lambda i, doc, n, x, y, text, ocr=False, code=False: {"id": i, "doc": doc, "page": n, "bbox": [x, y, x + 200.0, y + 20.0], "text": text, "ocr": ocr, "code": code}
     filler = [page(900 + i, f"f{i}", 1, 72.0, 300.0, "The extractor reads the registry and then the scheduler waits.") for i in range(40)]
     rows = [
