@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirewright.cluster import once
 from quirewright.functions.code import ascii_punctuation, classify_context, classify_text, detect_language, looks_space_merged, panels, post_process, recover_indentation, split_merged, structural_score
 from quirewright.functions.text import strip
 from quirewright.operators.quality import RESOLVED
@@ -120,19 +121,26 @@ def repaired(text: Column, visual_type: Column) -> Column:
     return recover_indentation(ascii_punctuation(split_merged(post_process(text))["text"]))
 
 
-def steps(raw: Column, visual_type: Column) -> Column:
-    """What was done to a recognized text, in order."""
-    clean = post_process(raw)
-    split = split_merged(clean)
-    ascii_ = ascii_punctuation(split["text"])
+def repairs(texts: DataFrame, raw: str, visual_type: str) -> DataFrame:
+    """``texts`` with ``selected_text``, as ``repaired`` makes it of the column ``raw``, and ``steps``: what was done to it, in order.
+
+    Every stage is a column that is computed once. As one expression the stages are copied into each of their uses, and above an
+    aggregate every copy becomes a column of the rows that wait for Python: 2,220 of them, which filled the disk.
+    """
+    rows = once(texts, "__clean", post_process(F.col(raw)))
+    rows = once(rows, "__split", split_merged(F.col("__clean")))
+    rows = once(rows, "__ascii", ascii_punctuation(F.col("__split.text")))
+    rows = once(rows, "selected_text", recover_indentation(F.col("__ascii")))
+    clean, split, ascii_ = F.col("__clean"), F.col("__split"), F.col("__ascii")
     wide = F.length(split["text"]) - F.length(F.translate(split["text"], "，。：；！？（）［］｛｝＂＇＜＞＝＋－＊／＼＆｜＃％＠＄＾～｀", ""))
     none = F.array().cast("array<string>")
-    return F.concat(
-        F.when(clean != raw, F.array(F.lit("post_processed"))).otherwise(none), split["done"],
+    done = F.concat(
+        F.when(clean != F.col(raw), F.array(F.lit("post_processed"))).otherwise(none), split["done"],
         F.when(ascii_ != split["text"], F.array(F.concat(F.lit("fullwidth_punct_normalized:"), wide.cast("string"), F.lit("chars")))).otherwise(none),
-        F.when(recover_indentation(ascii_) != ascii_, F.array(F.lit("indent_recovered"))).otherwise(none),
-        F.when(visual_type.isin("terminal", "http", "diff") & (clean != ""), F.array(F.lit("panel_split"))).otherwise(none),
+        F.when(F.col("selected_text") != ascii_, F.array(F.lit("indent_recovered"))).otherwise(none),
+        F.when(F.col(visual_type).isin("terminal", "http", "diff") & (clean != ""), F.array(F.lit("panel_split"))).otherwise(none),
     )
+    return rows.select(*texts.columns, "selected_text", done.alias("steps"))
 
 
 def final_confidence(model: Column, boost: Column, repairs: Column) -> Column:

@@ -241,7 +241,7 @@ def panel_segments(spark, d):
 @query()
 def code_repairs(spark, d):
     v = table(spark, d, "blocks", spread=True).where("type = 'visual' and enrichment.raw_text is not null").select("document_id", "block_id", "visual_type", F.col("enrichment.raw_text").alias("t")).distinct()
-    return v.select("document_id", "block_id", enrich.repaired(F.col("t"), F.col("visual_type")).alias("selected_text"), enrich.steps(F.col("t"), F.col("visual_type")).alias("steps"))
+    return enrich.repairs(v, "t", "visual_type").select("document_id", "block_id", "selected_text", "steps")
 
 
 @query("with v as (select distinct document_id, block_id, text t from blocks where type = 'native_code' and text is not null), r as (select *, replace(replace(t, ':', '：'), ',', '，') w from v) select document_id, block_id, translate(w, "

@@ -239,6 +239,29 @@ def test_recognizers(spark):
     assert [(r.text, r.confidence) for r in got] == [("u", 0.6), ("", 0.0)]
 
 
+def test_code_repairs(spark, blocks_of, tmp_path):
+    from quirewright.plans import core_queries
+
+    raw = {
+        "all": ("code", "importos\r\nif x：\ny = 1"), "numbers": (None, "1 a\n2 b"), "wide": ("http", "GET /apiv1（x）"), "term": ("terminal", "$ lsx\nout"), "prose": ("code", "你好，世界。"), "plain": ("code", "plain"), "blank": ("diff", ""),
+    }
+    rows = [{"type": "visual", "block_id": k, "visual_type": v, "raw": t} for k, (v, t) in raw.items()]
+    blocks_of([*rows, *rows, {"type": "visual", "block_id": "none"}, {"block_id": "text", "raw": "importos"}]).write.parquet(str(tmp_path / "blocks.parquet"))
+    df = core_queries.QUERIES["code_repairs"](spark, str(tmp_path))
+    assert {r.block_id: (r.selected_text, r.steps) for r in df.collect()} == {
+        "all": ("import os\nif x:\n    y = 1", ["post_processed", "split:importos->import os", "fullwidth_punct_normalized:1chars", "indent_recovered"]),
+        "numbers": ("a\nb", ["post_processed"]), "wide": ("GET /apiv1(x)", ["fullwidth_punct_normalized:2chars", "panel_split"]), "term": ("$ lsx\nout", ["panel_split"]), "prose": ("你好，世界。", []), "plain": ("plain", []), "blank": ("", []),
+    }
+    assert df.count() == len(raw)
+
+    def widest(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return max([node.output().size(), *map(widest, below)])
+
+    # rows that wait for Python hold each stage once; copies of an expression over the distinct rows would be columns of their own
+    assert widest(df._jdf.queryExecution().sparkPlan()) <= 16
+
+
 def test_best_candidate(spark):
     df = spark.createDataFrame([("k", 0, "importosx", 0.9, "code"), ("k", 1, "import os\nfor x in y:\n    print(x)", 0.5, "code"), ("t", 0, "same", 0.5, None), ("t", 1, "same", 0.5, None)], "k string, view int, text string, confidence double, visual_type string")
     assert {r.k: r.view for r in enrich.best_candidates(df, ["k"]).collect()} == {"k": 1, "t": 0}
